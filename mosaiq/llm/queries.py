@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm import language_id, mixing, pii, quality_rules, token_counts
+from mosaiq.llm import language_id, mixing, near_dedup, pii, quality_rules, token_counts
 from mosaiq.llm.common import documents, fold
 
 
@@ -38,11 +38,50 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(documents(spark, sf_dir))
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_token_counts": op2_token_counts,
     "op4_mixing": op4_mixing,
     "op5_pii": op5_pii,
     "op6_quality_rules": op6_quality_rules,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
+}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+SQL: dict[str, str] = {
+    "op7_minhash_near_dedup": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
+        s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM w),
+        one AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+        links AS (SELECT a.doc_id AS u, b.doc_id AS v FROM one a JOIN one b ON a.x = b.x AND a.doc_id < b.doc_id
+                GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        both_ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+        reach AS (SELECT doc_id, doc_id AS seen FROM documents UNION SELECT r.doc_id, b.v FROM reach r JOIN both_ways b ON r.seen = b.u)
+        SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
+        FROM s JOIN (SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)
+    """,
+    "op6_quality_rules": f"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS host FROM documents),
+        w AS (SELECT *, {_WORDS.format("t")} AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t),
+        g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+        again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+        rep AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, i + d AS p FROM again, (VALUES (0), (1), (2)) AS v(d)) GROUP BY doc_id),
+        lines AS (SELECT doc_id, host, lower(trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g'))) AS l, len({_WORDS.format("l")}) AS words FROM (SELECT doc_id, host, unnest(ls) AS l FROM w)),
+        common AS (SELECT host, l FROM lines GROUP BY host, l HAVING count(DISTINCT doc_id) > 10),
+        cut AS (SELECT doc_id, sum(words) AS n FROM lines SEMI JOIN common USING (host, l) GROUP BY doc_id),
+        f AS (SELECT w.doc_id, len(w) AS n_words, len(array_to_string(w, '')) AS word_chars, len(t) - len(translate(t, '#*$%&|<>', '')) AS n_symbols,
+                len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(cut.n, 0) AS c
+              FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN cut USING (doc_id))
+        SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+            CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+            n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CAST(c AS BIGINT) AS n_line_words_cut,
+            NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * (n_words - c) >= 50 * n_words AS kept
+        FROM f
+    """,
 }
-SQL: dict[str, str] = {}
