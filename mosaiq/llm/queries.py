@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm import decontaminate, language_id, line_dedup, mixing, near_dedup, pii, quality_rules, suffix_dedup, token_counts
+from mosaiq.llm import decontaminate, language_id, line_dedup, lm_scoring, mixing, near_dedup, pii, quality_rules, suffix_dedup, token_counts
 from mosaiq.llm.common import documents, fold
 
 
@@ -24,6 +24,14 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = documents(spark, sf_dir)
+    docs = docs.withColumn("held_out", fold(docs.doc_id, 5) == 1)
+    return lm_scoring.score(docs, ~docs.held_out, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), keep=("held_out",))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -58,6 +66,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_token_counts": op2_token_counts,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_mixing": op4_mixing,
     "op5_pii": op5_pii,
     "op6_quality_rules": op6_quality_rules,
