@@ -91,8 +91,9 @@ def identify(docs: DataFrame, profiles: DataFrame, text: str = "text", keep: tup
     Only the text is read. lang_pred is `und` with score 0 where the text is null or has no letter,
     or there is no profile. Ties go to the language that sorts first. score: how much nearer the
     best language is than the next (or than the greatest distance), from 0 to 1. The profiles are
-    collected: `length` n-grams for each language.
+    collected: `length` n-grams for each language. Kept columns of the names of results are replaced.
     """
+    keep = tuple(c for c in keep if c not in ("lang_pred", "score"))
     got = profiles.collect()
     names = sorted({r.lang for r in got})
     grams = np.array(sorted({r.gram for r in got}), np.int64)
