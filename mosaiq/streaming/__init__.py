@@ -1,0 +1 @@
+"""Streams: there are no streaming operators to match, so this package is empty."""
