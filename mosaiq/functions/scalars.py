@@ -60,7 +60,7 @@ def delta_percent(pre: Column, post: Column) -> Column:
 
 def format_value(v: Column, decimals: int = 2) -> Column:
     """Text of a number: empty if not finite, grouped with 2 decimals from 1000 on."""
-    v = _c(v)
+    v = _c(v).cast("double")
     return F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), "").when(F.abs(v) >= 1000, F.format_number(v, 2)).otherwise(F.format_string(f"%.{decimals}f", v))
 
 

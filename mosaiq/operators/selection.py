@@ -210,7 +210,9 @@ def select_utility(candidates: DataFrame, sizes: DataFrame, budgets: DataFrame,
 
     if pairs is None:
         return rows.groupBy("scenario_id").applyInPandas(lambda key, df: pick(key, df), PICKS)
-    return rows.groupBy("scenario_id").cogroup(pairs.groupBy("scenario_id")).applyInPandas(lambda key, a, b: pick(key, a, b), PICKS)
+    # Both sides come from the same candidates: new names keep their columns apart.
+    pairs = pairs.toDF(*pairs.columns).select(F.col("scenario_id").alias("of"), *pairs.columns[1:])
+    return rows.groupBy("scenario_id").cogroup(pairs.groupBy("of")).applyInPandas(lambda key, a, b: pick(key, a, b), PICKS)
 
 
 def backbone(edges: pd.DataFrame, sizes: dict[int, float], budget: float, loop_fraction: float | None = 0.05, most_loops: int = 2) -> tuple[list[tuple[int, str]], Forest, float]:
@@ -348,7 +350,7 @@ def largest_network(picks: DataFrame, candidates: DataFrame, sizes: DataFrame) -
     e = picks.join(candidates.select("scenario_id", "cand_id", "patch_ids"), ["scenario_id", "cand_id"])
     # Nodes of different scenarios are kept apart by a number in the upper bits.
     order = e.select("scenario_id").distinct().withColumn("s", F.row_number().over(W.orderBy("scenario_id")).cast("long"))
-    e = e.join(order, "scenario_id").withColumn("u", F.shiftleft("s", 40) + F.get("patch_ids", 0)).withColumn("v", F.shiftleft("s", 40) + F.explode("patch_ids"))
+    e = e.join(order, "scenario_id").withColumn("v", F.explode("patch_ids")).withColumns({"u": F.shiftleft("s", 40) + F.get("patch_ids", 0), "v": F.shiftleft("s", 40) + F.col("v")})
     comp = components(e)
     total = comp.withColumn("s", F.shiftright("node", 40)).withColumn("patch_id", F.col("node") - F.shiftleft("s", 40)).join(sizes, "patch_id").groupBy("s", "component").agg(F.sum("size").alias("size"))
     best = total.groupBy("s").agg(F.max_by("component", F.struct("size", -F.col("component"))).alias("component"))
