@@ -382,14 +382,13 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     else:
         seqs = versions.join(some, "doc", "left_semi").select("doc", "th", F.row_number().over(W.partitionBy("doc").orderBy("th")).alias("seq"))
         rows = rows.withColumn("th", F.xxhash64("text")).join(seqs, ["doc", "th"], "left").withColumn("seq", F.coalesce("seq", F.lit(0))).drop("th")
-    # Rows that repeat an id and text give the same anchors at the same places; they are no repeats of each other.
+    # Rows that repeat an id and text are one document, not repeats of each other.
     repeated = not versions.where("n > 1").isEmpty()
-    picked = _anchor_rows(rows.select("doc", "seq", "text"))
-    if repeated:
-        picked = picked.distinct()
+    single = rows.dropDuplicates(["doc", "seq"]) if repeated else rows
+    picked = _anchor_rows(single.select("doc", "seq", "text"))
     order = ["hash", "around", "doc", "seq", "pos"]
     found = cuts.cut(_first_pass(picked.repartition("hash").sortWithinPartitions(*order)), "first")
-    around = _surroundings(rows.dropDuplicates(["doc", "seq"]) if repeated else rows, found.where("kind = 1"))
+    around = _surroundings(single, found.where("kind = 1"))
     second = cuts.cut(_second_pass(around.repartition("hash").sortWithinPartitions("hash")), "second")
     spans = found.where("kind = 0").union(second.where("kind = 0")).select("doc", "seq", F.col("a").alias("start"), F.col("b").alias("end"))
     if not second.where("kind = 2").isEmpty():
