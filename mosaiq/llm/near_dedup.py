@@ -25,9 +25,9 @@ _U = np.uint64
 #: Members of a bucket that one row holds; blocks of a bucket are compared with each other.
 BLOCK = 512
 #: Standard deviations of the estimate by which a candidate may fall short of the least similarity.
-SLACK = 5.0
-#: Partners that a member proposes in the first round after the stars; four times as many in each next round.
-FIRST = 2
+SLACK = 4.0
+#: Partners that a member proposes of each block in the first round after the stars; eight times as many in each next round.
+FIRST = 8
 MOST_ROUNDS = 24
 
 
@@ -129,13 +129,26 @@ def _confirm(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").select("u", "v", "su", "sv").mapInArrow(run, "u long, v long, ok boolean")
 
 
+def _own(sets: DataFrame) -> DataFrame:
+    """(rep, full, own): shingles of each set, and how many no other of the sets has."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it):
+            found = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), [len(x) for x in found])), pa.array(np.concatenate(found))], names=["rep", "x"])
+
+    alone = sets.mapInArrow(run, "rep long, x long").groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("rep")).where("n = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
+    return sets.select("rep", F.expr("length(shingles) div 8").cast("long").alias("full")).join(alone, "rep", "left").select("rep", "full", F.coalesce("own", F.lit(0)).cast("long").alias("own"))
+
+
 def _apart(members: DataFrame, p: Params, most: int) -> DataFrame:
     """Proposed pairs (u, v) within buckets, of classes in different components.
 
-    members: (bucket, rep, comp, sig, main), main where comp is the bucket's largest. Rows of up to
+    members: (bucket, rep, comp, sig, main, full, own), main where comp is the bucket's largest. What
+    two sets have for their own bounds their similarity from above; pairs whose bound is too low, or
+    whose estimate falls short by more than the slack, are left out. Rows of up to
     BLOCK members are compared block by block, and each member that is not main proposes its
-    `most` likeliest partners of each block; a pair below the estimate's slack is none. more is 1
-    where a member had others besides.
+    `most` likeliest partners of each block. more is 1 where a member had others besides.
     """
     width = p.size * 4
     least = p.percent / 100 - SLACK * (p.percent / 100 * (1 - p.percent / 100) / p.size) ** 0.5
@@ -146,12 +159,12 @@ def _apart(members: DataFrame, p: Params, most: int) -> DataFrame:
         for main, part in rows.groupby("main"):
             for i in range(0, len(part), BLOCK):
                 x = part.iloc[i : i + BLOCK]
-                out.append((x.bucket.iloc[0], bool(main), int(x.rep.iloc[0]), x.rep.to_numpy(np.int64).tobytes(), x.comp.to_numpy(np.int64).tobytes(), b"".join(x.sig)))
-        return pd.DataFrame(out, columns=["bucket", "main", "first", "reps", "comps", "sigs"])
+                out.append((x.bucket.iloc[0], bool(main), int(x.rep.iloc[0]), x.rep.to_numpy(np.int64).tobytes(), x.comp.to_numpy(np.int64).tobytes(), x[["full", "own"]].to_numpy(np.int64).tobytes(), b"".join(x.sig)))
+        return pd.DataFrame(out, columns=["bucket", "main", "first", "reps", "comps", "sizes", "sigs"])
 
     salted = members.withColumn("salt", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / (4 * BLOCK))))
-    blocks = salted.groupBy("bucket", "salt").applyInPandas(pack, "bucket long, main boolean, first long, reps binary, comps binary, sigs binary")
-    left = blocks.where("not main").select("bucket", F.col("main").alias("m1"), F.col("first").alias("f1"), F.col("reps").alias("r1"), F.col("comps").alias("c1"), F.col("sigs").alias("s1"))
+    blocks = salted.groupBy("bucket", "salt").applyInPandas(pack, "bucket long, main boolean, first long, reps binary, comps binary, sizes binary, sigs binary")
+    left = blocks.where("not main").select("bucket", F.col("main").alias("m1"), F.col("first").alias("f1"), F.col("reps").alias("r1"), F.col("comps").alias("c1"), F.col("sizes").alias("n1"), F.col("sigs").alias("s1"))
     both = left.join(blocks, "bucket").where("main or f1 <= first")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,16 +174,22 @@ def _apart(members: DataFrame, p: Params, most: int) -> DataFrame:
                 r1, r2 = np.frombuffer(r["r1"], np.int64), np.frombuffer(r["reps"], np.int64)
                 c1, c2 = np.frombuffer(r["c1"], np.int64), np.frombuffer(r["comps"], np.int64)
                 s1, s2 = np.frombuffer(r["s1"], np.uint32).reshape(-1, width // 4), np.frombuffer(r["sigs"], np.uint32).reshape(-1, width // 4)
+                n1, n2 = np.frombuffer(r["n1"], np.int64).reshape(-1, 2), np.frombuffer(r["sizes"], np.int64).reshape(-1, 2)
                 for i in range(len(r1)):
-                    share = (s2 == s1[i]).mean(axis=1)
-                    share[(c2 == c1[i]) | (share < least)] = -1
+                    both_ = np.minimum(n1[i, 0] - n1[i, 1], n2[:, 0] - n2[:, 1])
+                    fit = np.flatnonzero((c2 != c1[i]) & (100 * both_ >= p.percent * (both_ + n1[i, 1] + n2[:, 1])))
+                    share = np.full(len(r2), -1.0)
+                    share[fit] = (s2[fit] == s1[i]).mean(axis=1)
+                    share[share < least] = -1
                     top = np.argsort(-share, kind="stable")[:most]
                     more = int((share >= 0).sum() > most)
                     out += [(min(r1[i], r2[j]), max(r1[i], r2[j]), more) for j in top if share[j] >= 0]
             cols = np.array(out, np.int64).reshape(-1, 3).T.copy()
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["u", "v", "more"])
 
-    return both.select("bucket", "r1", "c1", "s1", "reps", "comps", "sigs").mapInArrow(run, "u long, v long, more long").groupBy("u", "v").agg(F.max("more").alias("more"))
+    # All block pairs of a large family have one key: they are dealt out anew.
+    both = both.repartition(4 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), "f1", "first")
+    return both.select("bucket", "r1", "c1", "n1", "s1", "reps", "comps", "sizes", "sigs").mapInArrow(run, "u long, v long, more long").groupBy("u", "v").agg(F.max("more").alias("more"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", p: Params = Params()) -> DataFrame:
@@ -204,15 +223,28 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["rep", "shingles"])
 
     sets = cuts.cut(chosen.mapInArrow(whole, "rep long, shingles binary").where("length(shingles) > 0"), "sets")
+    own = cuts.cut(_own(sets), "own")
+    # A set with too much that no other has links with nothing.
+    able = own.where(f"100 * (full - own) >= {p.percent} * full")
+    shared = cuts.cut(shared.select("bucket", "rep").join(able, "rep"), "able")
+    sizes = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("pivot")).where("n > 1")
+    shared = cuts.cut(shared.join(sizes, "bucket"), "shared")
     tried = cuts.cut(_confirm(shared.where("rep <> pivot").select(F.col("pivot").alias("u"), F.col("rep").alias("v")).distinct(), sets, p), "tried0")
     most, links = FIRST, None
     for turn in range(1, MOST_ROUNDS):
         links = tried.where("ok").select("u", "v")
         comp = cuts.cut(components(links, cuts), "comp")
-        labelled = shared.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-        parts = labelled.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("m"))
-        split = parts.groupBy("bucket").agg(F.max_by("comp", F.struct("m", "comp")).alias("largest"), F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket", "largest")
-        open_ = labelled.join(split, "bucket").withColumn("main", F.col("comp") == F.col("largest")).drop("largest")
+        labelled = shared.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("bucket", "rep", "n", "full", "own", F.coalesce("component", "rep").alias("comp"))
+        # Buckets that are still split, joined through their members to families: a pair that shares many buckets is compared once.
+        split = labelled.groupBy("bucket").agg(F.min("rep").alias("u"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket", "u")
+        ties = cuts.cut(labelled.join(split, "bucket").select("u", F.col("rep").alias("v"), "comp", "full", "own"), "ties")
+        if ties.isEmpty():
+            break
+        family = components(ties, cuts, "families").select(F.col("node").alias("rep"), F.col("component").alias("bucket"))
+        open_ = cuts.cut(ties.select(F.col("v").alias("rep"), "comp", "full", "own").distinct().join(family, "rep"), "open")
+        parts = open_.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("m"))
+        parts = parts.groupBy("bucket").agg(F.max_by("comp", F.struct("m", "comp")).alias("largest"), F.sum("m").alias("n"))
+        open_ = open_.join(parts, "bucket").withColumn("main", F.col("comp") == F.col("largest")).drop("largest")
         open_ = open_.join(classes.select("rep", "sig"), "rep")
         proposed = cuts.cut(_apart(open_, p, most), "proposed")
         new = cuts.cut(proposed.join(tried, ["u", "v"], "left_anti").select("u", "v"), "new")
@@ -220,7 +252,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             tried = cuts.cut(tried.union(_confirm(new, sets, p)), "tried")
         elif proposed.where("more > 0").isEmpty():
             break
-        most *= 4
+        most *= 8
     else:
         raise RuntimeError("near_duplicates: proposals did not run out")
     comp = comp.select(F.col("node").alias("class_id"), "component")
