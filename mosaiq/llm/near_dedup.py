@@ -11,7 +11,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -150,20 +149,27 @@ def _apart(members: DataFrame, p: Params, most: int) -> DataFrame:
     BLOCK members are compared block by block, and each member that is not main proposes its
     `most` likeliest partners of each block. more is 1 where a member had others besides.
     """
-    width = p.size * 4
     least = p.percent / 100 - SLACK * (p.percent / 100 * (1 - p.percent / 100) / p.size) ** 0.5
 
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rep")
-        out = []
-        for main, part in rows.groupby("main"):
-            for i in range(0, len(part), BLOCK):
-                x = part.iloc[i : i + BLOCK]
-                out.append((x.bucket.iloc[0], bool(main), int(x.rep.iloc[0]), x.rep.to_numpy(np.int64).tobytes(), x.comp.to_numpy(np.int64).tobytes(), x[["full", "own"]].to_numpy(np.int64).tobytes(), b"".join(x.sig)))
-        return pd.DataFrame(out, columns=["bucket", "main", "first", "reps", "comps", "sizes", "sigs"])
-
+    def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks are runs of one bucket and main, of whatever length the batches give."""
+        for x in it:
+            if not x.num_rows:
+                continue
+            bucket, rep, comp, full, own = (x.column(i).to_numpy() for i in (0, 2, 3, 4, 5))
+            main = x.column(1).to_numpy(zero_copy_only=False)
+            change = np.flatnonzero((bucket[1:] != bucket[:-1]) | (main[1:] != main[:-1])) + 1
+            edges = [0, *change.tolist(), x.num_rows]
+            cuts = sorted({k for i, j in zip(edges[:-1], edges[1:], strict=True) for k in range(i, j, BLOCK)} | {x.num_rows})
+            sizes, sig = np.stack([full, own], axis=1), x.column(6)
+            out = [(int(bucket[i]), bool(main[i]), int(rep[i]), rep[i:j].tobytes(), comp[i:j].tobytes(), sizes[i:j].tobytes(), b"".join(sig.slice(i, j - i).to_pylist())) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+            types = [pa.int64(), pa.bool_(), pa.int64(), *[pa.binary()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["bucket", "main", "first", "reps", "comps", "sizes", "sigs"])
+
+    n_parts = 4 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salted = members.withColumn("salt", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / (4 * BLOCK))))
-    blocks = salted.groupBy("bucket", "salt").applyInPandas(pack, "bucket long, main boolean, first long, reps binary, comps binary, sizes binary, sigs binary")
+    dealt = salted.repartition(n_parts, "bucket", "salt").sortWithinPartitions("bucket", "main", "rep").select("bucket", "main", "rep", "comp", "full", "own", "sig")
+    blocks = Scratch(members.sparkSession, "blocks").cut(dealt.mapInArrow(pack, "bucket long, main boolean, first long, reps binary, comps binary, sizes binary, sigs binary"), "blocks")
     left = blocks.where("not main").select("bucket", F.col("main").alias("m1"), F.col("first").alias("f1"), F.col("reps").alias("r1"), F.col("comps").alias("c1"), F.col("sizes").alias("n1"), F.col("sigs").alias("s1"))
     both = left.join(blocks, "bucket").where("main or f1 <= first")
 
@@ -173,22 +179,21 @@ def _apart(members: DataFrame, p: Params, most: int) -> DataFrame:
             for r in b.to_pylist():
                 r1, r2 = np.frombuffer(r["r1"], np.int64), np.frombuffer(r["reps"], np.int64)
                 c1, c2 = np.frombuffer(r["c1"], np.int64), np.frombuffer(r["comps"], np.int64)
-                s1, s2 = np.frombuffer(r["s1"], np.uint32).reshape(-1, width // 4), np.frombuffer(r["sigs"], np.uint32).reshape(-1, width // 4)
+                # The low byte of each hash: a little too much agreement, never too little.
+                s1, s2 = (np.frombuffer(r[k], np.uint32).reshape(-1, p.size).astype(np.uint8) for k in ("s1", "sigs"))
                 n1, n2 = np.frombuffer(r["n1"], np.int64).reshape(-1, 2), np.frombuffer(r["sizes"], np.int64).reshape(-1, 2)
                 for i in range(len(r1)):
                     both_ = np.minimum(n1[i, 0] - n1[i, 1], n2[:, 0] - n2[:, 1])
-                    fit = np.flatnonzero((c2 != c1[i]) & (100 * both_ >= p.percent * (both_ + n1[i, 1] + n2[:, 1])))
-                    share = np.full(len(r2), -1.0)
-                    share[fit] = (s2[fit] == s1[i]).mean(axis=1)
-                    share[share < least] = -1
-                    top = np.argsort(-share, kind="stable")[:most]
-                    more = int((share >= 0).sum() > most)
-                    out += [(min(r1[i], r2[j]), max(r1[i], r2[j]), more) for j in top if share[j] >= 0]
+                    share = np.count_nonzero(s2 == s1[i], axis=1) / p.size
+                    fit = np.flatnonzero((share >= least) & (c2 != c1[i]) & (100 * both_ >= p.percent * (both_ + n1[i, 1] + n2[:, 1])))
+                    top = fit[np.argsort(-share[fit], kind="stable")[:most]]
+                    more = int(len(fit) > most)
+                    out += [(min(r1[i], r2[j]), max(r1[i], r2[j]), more) for j in top]
             cols = np.array(out, np.int64).reshape(-1, 3).T.copy()
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["u", "v", "more"])
 
     # All block pairs of a large family have one key: they are dealt out anew.
-    both = both.repartition(4 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), "f1", "first")
+    both = both.repartition(n_parts, "f1", "first")
     return both.select("bucket", "r1", "c1", "n1", "s1", "reps", "comps", "sizes", "sigs").mapInArrow(run, "u long, v long, more long").groupBy("u", "v").agg(F.max("more").alias("more"))
 
 
