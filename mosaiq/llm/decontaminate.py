@@ -24,7 +24,7 @@ _U = np.uint64
 #: Word edits per word of an item that still count as the item; the recall that the samples aim at.
 RATE, RECALL = 0.2, 0.999
 #: Walks, places in a sample.
-WALKS, PLACES = 6, 4
+WALKS, PLACES = 10, 3
 #: Words of an anchoring run in items of at least LONG words, and in shorter ones. By counting, floor(RATE * w)
 #: edits leave one of the w - 2 runs of three whole where w >= 8, and one of the w words in any case.
 RUN, LONG = 3, 8
