@@ -166,7 +166,7 @@ def _apart(members: DataFrame, p: Params, most: int) -> DataFrame:
             types = [pa.int64(), pa.bool_(), pa.int64(), *[pa.binary()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["bucket", "main", "first", "reps", "comps", "sizes", "sigs"])
 
-    n_parts = 4 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salted = members.withColumn("salt", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / (4 * BLOCK))))
     dealt = salted.repartition(n_parts, "bucket", "salt").sortWithinPartitions("bucket", "main", "rep").select("bucket", "main", "rep", "comp", "full", "own", "sig")
     blocks = Scratch(members.sparkSession, "blocks").cut(dealt.mapInArrow(pack, "bucket long, main boolean, first long, reps binary, comps binary, sizes binary, sigs binary"), "blocks")
@@ -235,17 +235,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     sizes = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("pivot")).where("n > 1")
     shared = cuts.cut(shared.join(sizes, "bucket"), "shared")
     tried = cuts.cut(_confirm(shared.where("rep <> pivot").select(F.col("pivot").alias("u"), F.col("rep").alias("v")).distinct(), sets, p), "tried0")
-    most, links = FIRST, None
-    for turn in range(1, MOST_ROUNDS):
-        links = tried.where("ok").select("u", "v")
+    most, links, family, all_tried = FIRST, tried.where("ok").select("u", "v"), None, False
+    for _ in range(MOST_ROUNDS):
         comp = cuts.cut(components(links, cuts), "comp")
+        if all_tried:
+            break
         labelled = shared.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("bucket", "rep", "n", "full", "own", F.coalesce("component", "rep").alias("comp"))
         # Buckets that are still split, joined through their members to families: a pair that shares many buckets is compared once.
         split = labelled.groupBy("bucket").agg(F.min("rep").alias("u"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket", "u")
         ties = cuts.cut(labelled.join(split, "bucket").select("u", F.col("rep").alias("v"), "comp", "full", "own"), "ties")
         if ties.isEmpty():
             break
-        family = components(ties, cuts, "families").select(F.col("node").alias("rep"), F.col("component").alias("bucket"))
+        if family is None:
+            # Components only merge, so later rounds' split buckets lie within the first round's families.
+            family = cuts.cut(components(ties, cuts, "links").select(F.col("node").alias("rep"), F.col("component").alias("bucket")), "families")
         open_ = cuts.cut(ties.select(F.col("v").alias("rep"), "comp", "full", "own").distinct().join(family, "rep"), "open")
         parts = open_.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("m"))
         parts = parts.groupBy("bucket").agg(F.max_by("comp", F.struct("m", "comp")).alias("largest"), F.sum("m").alias("n"))
@@ -254,8 +257,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         proposed = cuts.cut(_apart(open_, p, most), "proposed")
         new = cuts.cut(proposed.join(tried, ["u", "v"], "left_anti").select("u", "v"), "new")
         if not new.isEmpty():
-            tried = cuts.cut(tried.union(_confirm(new, sets, p)), "tried")
-        elif proposed.where("more > 0").isEmpty():
+            fresh = cuts.cut(_confirm(new, sets, p), "fresh")
+            tried = cuts.cut(tried.union(fresh), "tried")
+            links = comp.select(F.col("node").alias("u"), F.col("component").alias("v")).union(fresh.where("ok").select("u", "v"))
+        # Where no member held any partner back, every pair that can link has been tried.
+        all_tried = proposed.where("more > 0").isEmpty()
+        if new.isEmpty() and all_tried:
             break
         most *= 8
     else:
