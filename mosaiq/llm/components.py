@@ -24,14 +24,14 @@ def _local_stars(edges: DataFrame) -> DataFrame:
     """The same components with each piece of a task's edges joined to stars: fewer edges and shorter ways."""
 
     def stars(parent: dict[int, int]) -> pa.RecordBatch:
-        found = [(x, y) for x in parent if (y := _root(parent, x)) != x]
+        found = [(x, y) for x in parent if (y := root(parent, x)) != x]
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["u", "v"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parent: dict[int, int] = {}
         for b in it:
             for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x, y = _root(parent, u), _root(parent, v)
+                x, y = root(parent, u), root(parent, v)
                 if x != y:
                     parent[max(x, y)] = min(x, y)
             if len(parent) > PIECE:
@@ -42,7 +42,8 @@ def _local_stars(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").cast("long"), F.col("v").cast("long")).mapInArrow(run, "u long, v long")
 
 
-def _root(parent: dict[int, int], x: int) -> int:
+def root(parent: dict[int, int], x: int) -> int:
+    """The least node that x is known to reach; ways are halved as they are walked."""
     while (y := parent.setdefault(x, x)) != x:
         parent[x] = x = parent.setdefault(y, y)
     return x

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from mosaiq.llm import textkernel as tk
 from mosaiq.llm.common import batches
-from mosaiq.llm.components import components
+from mosaiq.llm.components import components, root
 from mosaiq.scratch import Scratch
 
 _U = np.uint64
@@ -25,9 +25,8 @@ _U = np.uint64
 BLOCK = 512
 #: Standard deviations of the estimate by which a candidate may fall short of the least similarity.
 SLACK = 4.0
-#: Partners that a member proposes of each block in the first round after the stars; eight times as many in each next round.
-FIRST = 8
-MOST_ROUNDS = 24
+#: Bytes of sets of a block, or one set.
+BLOCK_BYTES = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -106,6 +105,16 @@ def _bands(classes: DataFrame, p: Params) -> DataFrame:
     return classes.select("rep", "sig").mapInArrow(run, "bucket long, rep long")
 
 
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union of two ascending distinct arrays, in whole numbers."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    both = int((large[at] == small).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
     """(u, v, ok) of each pair: whether the full sets are similar enough, in whole numbers."""
     a = sets.select(F.col("rep").alias("u"), F.col("shingles").alias("su"))
@@ -115,14 +124,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
         for batch in batches(it, 8_000_000):
             ok = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
-                if 100 * min(len(x), len(y)) < p.percent * max(len(x), len(y)):
-                    ok.append(False)
-                    continue
-                small, large = (x, y) if len(x) < len(y) else (y, x)
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                both = int((large[at] == small).sum())
-                ok.append(100 * both >= p.percent * (len(x) + len(y) - both))
+                ok.append(_similar(np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U), p.percent))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["u", "v", "ok"])
 
     return pairs.join(a, "u").join(b, "v").select("u", "v", "su", "sv").mapInArrow(run, "u long, v long, ok boolean")
@@ -140,14 +142,14 @@ def _own(sets: DataFrame) -> DataFrame:
     return sets.select("rep", F.expr("length(shingles) div 8").cast("long").alias("full")).join(alone, "rep", "left").select("rep", "full", F.coalesce("own", F.lit(0)).cast("long").alias("own"))
 
 
-def _apart(members: DataFrame, p: Params, most: int) -> DataFrame:
-    """Proposed pairs (u, v) within buckets, of classes in different components.
+def _apart(members: DataFrame, p: Params) -> DataFrame:
+    """Links (u, v) between components of the same bucket, enough to join all that links join.
 
-    members: (bucket, rep, comp, sig, main, full, own), main where comp is the bucket's largest. What
-    two sets have for their own bounds their similarity from above; pairs whose bound is too low, or
-    whose estimate falls short by more than the slack, are left out. Rows of up to
-    BLOCK members are compared block by block, and each member that is not main proposes its
-    `most` likeliest partners of each block. more is 1 where a member had others besides.
+    members: (bucket, rep, comp, sig, main, full, own, n, shingles), main where comp is the bucket's
+    largest. What two sets have for their own bounds their similarity from above; pairs whose bound
+    is too low, or whose estimate falls short by more than the slack, are left out. The others are
+    confirmed on full sets, block by block, likeliest first; a pair whose components a link of the
+    same two blocks has joined already needs no link of its own.
     """
     least = p.percent / 100 - SLACK * (p.percent / 100 * (1 - p.percent / 100) / p.size) ** 0.5
 
@@ -159,42 +161,60 @@ def _apart(members: DataFrame, p: Params, most: int) -> DataFrame:
             bucket, rep, comp, full, own = (x.column(i).to_numpy() for i in (0, 2, 3, 4, 5))
             main = x.column(1).to_numpy(zero_copy_only=False)
             change = np.flatnonzero((bucket[1:] != bucket[:-1]) | (main[1:] != main[:-1])) + 1
-            edges = [0, *change.tolist(), x.num_rows]
-            cuts = sorted({k for i, j in zip(edges[:-1], edges[1:], strict=True) for k in range(i, j, BLOCK)} | {x.num_rows})
-            sizes, sig = np.stack([full, own], axis=1), x.column(6)
-            out = [(int(bucket[i]), bool(main[i]), int(rep[i]), rep[i:j].tobytes(), comp[i:j].tobytes(), sizes[i:j].tobytes(), b"".join(sig.slice(i, j - i).to_pylist())) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-            types = [pa.int64(), pa.bool_(), pa.int64(), *[pa.binary()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["bucket", "main", "first", "reps", "comps", "sizes", "sigs"])
+            sets = x.column(7).to_pylist()
+            length, heads, cuts, held = np.array([len(v) // 8 for v in sets], np.int64), set(change.tolist()), [0], 0
+            for i in range(x.num_rows):
+                if i > cuts[-1] and (i in heads or i - cuts[-1] == BLOCK or held + len(sets[i]) > BLOCK_BYTES):
+                    cuts.append(i)
+                    held = 0
+                held += len(sets[i])
+            cuts.append(x.num_rows)
+            sizes, sig = np.stack([full, own, length], axis=1), x.column(6)
+            out = [(int(bucket[i]), bool(main[i]), int(rep[i]), rep[i:j].tobytes(), comp[i:j].tobytes(), sizes[i:j].tobytes(), b"".join(sig.slice(i, j - i).to_pylist()), b"".join(sets[i:j])) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+            types = [pa.int64(), pa.bool_(), pa.int64(), *[pa.binary()] * 5]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["bucket", "main", "first", "reps", "comps", "sizes", "sigs", "sets"])
 
     n_parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salted = members.withColumn("salt", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / (4 * BLOCK))))
-    dealt = salted.repartition(n_parts, "bucket", "salt").sortWithinPartitions("bucket", "main", "rep").select("bucket", "main", "rep", "comp", "full", "own", "sig")
-    blocks = Scratch(members.sparkSession, "blocks").cut(dealt.mapInArrow(pack, "bucket long, main boolean, first long, reps binary, comps binary, sizes binary, sigs binary"), "blocks")
-    left = blocks.where("not main").select("bucket", F.col("main").alias("m1"), F.col("first").alias("f1"), F.col("reps").alias("r1"), F.col("comps").alias("c1"), F.col("sizes").alias("n1"), F.col("sigs").alias("s1"))
+    dealt = salted.repartition(n_parts, "bucket", "salt").sortWithinPartitions("bucket", "main", "rep").select("bucket", "main", "rep", "comp", "full", "own", "sig", "shingles")
+    blocks = Scratch(members.sparkSession, "blocks").cut(dealt.mapInArrow(pack, "bucket long, main boolean, first long, reps binary, comps binary, sizes binary, sigs binary, sets binary"), "blocks")
+    left = blocks.where("not main").select("bucket", F.col("first").alias("f1"), F.col("reps").alias("r1"), F.col("comps").alias("c1"), F.col("sizes").alias("n1"), F.col("sigs").alias("s1"), F.col("sets").alias("t1"))
     both = left.join(blocks, "bucket").where("main or f1 <= first")
 
+    def unpack(r: dict, *names: str) -> tuple:
+        """ids, components, sizes, signatures and sets of a block."""
+        ids, comps, sizes = (np.frombuffer(r[k], np.int64) for k in names[:3])
+        sizes = sizes.reshape(-1, 3)
+        # The low byte of each hash: a little too much agreement, never too little.
+        sig = np.frombuffer(r[names[3]], np.uint32).reshape(-1, p.size).astype(np.uint8)
+        return ids, comps, sizes, sig, np.split(np.frombuffer(r[names[4]], _U), np.cumsum(sizes[:-1, 2]))
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             out = []
-            for r in b.to_pylist():
-                r1, r2 = np.frombuffer(r["r1"], np.int64), np.frombuffer(r["reps"], np.int64)
-                c1, c2 = np.frombuffer(r["c1"], np.int64), np.frombuffer(r["comps"], np.int64)
-                # The low byte of each hash: a little too much agreement, never too little.
-                s1, s2 = (np.frombuffer(r[k], np.uint32).reshape(-1, p.size).astype(np.uint8) for k in ("s1", "sigs"))
-                n1, n2 = np.frombuffer(r["n1"], np.int64).reshape(-1, 2), np.frombuffer(r["sizes"], np.int64).reshape(-1, 2)
+            for k in range(b.num_rows):
+                r = b.slice(k, 1).to_pylist()[0]
+                r1, c1, n1, s1, t1 = unpack(r, "r1", "c1", "n1", "s1", "t1")
+                r2, c2, n2, s2, t2 = unpack(r, "reps", "comps", "sizes", "sigs", "sets")
+                parent: dict[int, int] = {}
+                same = r["r1"] == r["reps"]
                 for i in range(len(r1)):
                     both_ = np.minimum(n1[i, 0] - n1[i, 1], n2[:, 0] - n2[:, 1])
                     share = np.count_nonzero(s2 == s1[i], axis=1) / p.size
                     fit = np.flatnonzero((share >= least) & (c2 != c1[i]) & (100 * both_ >= p.percent * (both_ + n1[i, 1] + n2[:, 1])))
-                    top = fit[np.argsort(-share[fit], kind="stable")[:most]]
-                    more = int(len(fit) > most)
-                    out += [(min(r1[i], r2[j]), max(r1[i], r2[j]), more) for j in top]
-            cols = np.array(out, np.int64).reshape(-1, 3).T.copy()
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["u", "v", "more"])
+                    if same:
+                        fit = fit[fit > i]
+                    for j in fit[np.argsort(-share[fit], kind="stable")].tolist():
+                        x, y = root(parent, int(c1[i])), root(parent, int(c2[j]))
+                        if x != y and _similar(t1[i], t2[j], p.percent):
+                            parent[max(x, y)] = min(x, y)
+                            out.append((r1[i], r2[j]))
+            cols = np.array(out, np.int64).reshape(-1, 2).T.copy()
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["u", "v"])
 
     # All block pairs of a large family have one key: they are dealt out anew.
     both = both.repartition(n_parts, "f1", "first")
-    return both.select("bucket", "r1", "c1", "n1", "s1", "reps", "comps", "sizes", "sigs").mapInArrow(run, "u long, v long, more long").groupBy("u", "v").agg(F.max("more").alias("more"))
+    return both.select("r1", "c1", "n1", "s1", "t1", "reps", "comps", "sizes", "sigs", "sets").mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", p: Params = Params()) -> DataFrame:
@@ -234,39 +254,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     shared = cuts.cut(shared.select("bucket", "rep").join(able, "rep"), "able")
     sizes = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("pivot")).where("n > 1")
     shared = cuts.cut(shared.join(sizes, "bucket"), "shared")
-    tried = cuts.cut(_confirm(shared.where("rep <> pivot").select(F.col("pivot").alias("u"), F.col("rep").alias("v")).distinct(), sets, p), "tried0")
-    most, links, family, all_tried = FIRST, tried.where("ok").select("u", "v"), None, False
-    for _ in range(MOST_ROUNDS):
-        comp = cuts.cut(components(links, cuts), "comp")
-        if all_tried:
-            break
-        labelled = shared.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("bucket", "rep", "n", "full", "own", F.coalesce("component", "rep").alias("comp"))
-        # Buckets that are still split, joined through their members to families: a pair that shares many buckets is compared once.
-        split = labelled.groupBy("bucket").agg(F.min("rep").alias("u"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket", "u")
-        ties = cuts.cut(labelled.join(split, "bucket").select("u", F.col("rep").alias("v"), "comp", "full", "own"), "ties")
-        if ties.isEmpty():
-            break
-        if family is None:
-            # Components only merge, so later rounds' split buckets lie within the first round's families.
-            family = cuts.cut(components(ties, cuts, "links").select(F.col("node").alias("rep"), F.col("component").alias("bucket")), "families")
+    stars = shared.where("rep <> pivot").select(F.col("pivot").alias("u"), F.col("rep").alias("v")).distinct()
+    comp = cuts.cut(components(_confirm(stars, sets, p).where("ok"), cuts), "comp")
+    labelled = shared.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("bucket", "rep", "full", "own", F.coalesce("component", "rep").alias("comp"))
+    # Buckets that are still split, joined through their members to families: a pair that shares many buckets is compared once.
+    split = labelled.groupBy("bucket").agg(F.min("rep").alias("u"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket", "u")
+    ties = cuts.cut(labelled.join(split, "bucket").select("u", F.col("rep").alias("v"), "comp", "full", "own"), "ties")
+    if not ties.isEmpty():
+        family = components(ties, cuts, "families").select(F.col("node").alias("rep"), F.col("component").alias("bucket"))
         open_ = cuts.cut(ties.select(F.col("v").alias("rep"), "comp", "full", "own").distinct().join(family, "rep"), "open")
         parts = open_.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("m"))
         parts = parts.groupBy("bucket").agg(F.max_by("comp", F.struct("m", "comp")).alias("largest"), F.sum("m").alias("n"))
         open_ = open_.join(parts, "bucket").withColumn("main", F.col("comp") == F.col("largest")).drop("largest")
-        open_ = open_.join(classes.select("rep", "sig"), "rep")
-        proposed = cuts.cut(_apart(open_, p, most), "proposed")
-        new = cuts.cut(proposed.join(tried, ["u", "v"], "left_anti").select("u", "v"), "new")
-        if not new.isEmpty():
-            fresh = cuts.cut(_confirm(new, sets, p), "fresh")
-            tried = cuts.cut(tried.union(fresh), "tried")
-            links = comp.select(F.col("node").alias("u"), F.col("component").alias("v")).union(fresh.where("ok").select("u", "v"))
-        # Where no member held any partner back, every pair that can link has been tried.
-        all_tried = proposed.where("more > 0").isEmpty()
-        if new.isEmpty() and all_tried:
-            break
-        most *= 8
-    else:
-        raise RuntimeError("near_duplicates: proposals did not run out")
+        found = cuts.cut(_apart(open_.join(classes.select("rep", "sig"), "rep").join(sets, "rep"), p), "found")
+        comp = cuts.cut(components(comp.select(F.col("node").alias("u"), F.col("component").alias("v")).union(found), cuts), "comp")
     comp = comp.select(F.col("node").alias("class_id"), "component")
     out = members.join(comp, "class_id", "left")
     component = F.coalesce("component", "class_id")
