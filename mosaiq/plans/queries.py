@@ -51,12 +51,17 @@ def nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
-    """(u, v, weight): suppliers of the same orders, thinned out before the count."""
+    """(u, v, weight): all suppliers of the same orders."""
     li = _read(spark, sf, "lineitem").select("l_orderkey", "l_suppkey").distinct()
-    both = li.withColumnRenamed("l_suppkey", "u").join(li.withColumnRenamed("l_suppkey", "v"), "l_orderkey").where("u < v and (u * 31 + v * 17) % 23 = 0")
+    both = li.withColumnRenamed("l_suppkey", "u").join(li.withColumnRenamed("l_suppkey", "v"), "l_orderkey").where("u < v")
     return both.groupBy("u", "v").agg((1000.0 / F.count(F.lit(1))).alias("weight"))
 
 
+def thinned(spark: SparkSession, sf: str) -> DataFrame:
+    """One edge in 23, as the given SQL part `ed` has it: only for queries that are held against that SQL."""
+    return edges(spark, sf).where("(u * 31 + v * 17) % 23 = 0")
+
+
 def _r(df: DataFrame) -> DataFrame:
     """Doubles at six places."""
     return df.select(*[(F.round(c, 6) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
@@ -134,11 +139,11 @@ def _points(table: DataFrame) -> DataFrame:
     return table.select(F.col("patch_id").alias("id"), "x", "y")
 
 
-def _graph_candidates(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _graph_candidates(spark: SparkSession, sf: str, graph_of: Query = edges) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(candidates, sizes, budgets) of two scenarios."""
     n = nodes(spark, sf)
     a = lambda k: n.select(F.col("node").alias(k), F.col("area").alias(f"a{k}"))
-    e = edges(spark, sf).join(a("u"), "u").join(a("v"), "v")
+    e = graph_of(spark, sf).join(a("u"), "u").join(a("v"), "v")
     seq = F.col("u") * 100_000 + F.col("v")
     c = e.select(seq.alias("cand_id"), seq.alias("seq"), "u", "v", F.array("u", "v").alias("patch_ids"), F.col("weight").alias("length"), F.col("weight").alias("cost"), (F.sqrt(F.col("au") * F.col("av")) / F.col("weight")).alias("base_roi"))
     budgets = spark.createDataFrame([("large", 3000.0), ("small", 600.0)], "scenario_id string, budget double")
@@ -202,16 +207,16 @@ def _ids(s: SparkSession, d: str) -> DataFrame:
     return nodes(s, d).select("node")
 
 
-_add("graph_subgraph", lambda s, d: _r(graph.subgraph(edges(s, d), _ids(s, d).where("node % 2 = 0"))), "SELECT u, v, round(weight, 6) AS weight FROM ed WHERE u % 2 = 0 AND v % 2 = 0")
-_add("graph_components", lambda s, d: components.components(edges(s, d), _ids(s, d)), "SELECT node, component FROM gcomp")
-_add("graph_component_sizes", lambda s, d: components.sizes(components.components(edges(s, d), _ids(s, d)), nodes(s, d).select("node", F.col("area").alias("size"))), "SELECT component, count(*) AS n, sum(area) AS size FROM gcomp JOIN sn USING (node) GROUP BY component")
+_add("graph_subgraph", lambda s, d: _r(graph.subgraph(thinned(s, d), _ids(s, d).where("node % 2 = 0"))), "SELECT u, v, round(weight, 6) AS weight FROM ed WHERE u % 2 = 0 AND v % 2 = 0")
+_add("graph_components", lambda s, d: components.components(thinned(s, d), _ids(s, d)), "SELECT node, component FROM gcomp")
+_add("graph_component_sizes", lambda s, d: components.sizes(components.components(thinned(s, d), _ids(s, d)), nodes(s, d).select("node", F.col("area").alias("size"))), "SELECT component, count(*) AS n, sum(area) AS size FROM gcomp JOIN sn USING (node) GROUP BY component")
 _HOPS = """, lev AS (SELECT node AS src, node AS dst, 0 AS d FROM sn UNION SELECT l.src, s.v, l.d + 1 FROM lev l JOIN sym s ON l.dst = s.u WHERE l.d < 3),
     best AS (SELECT src, dst, CAST(min(d) AS DOUBLE) AS d FROM lev GROUP BY src, dst) """
-_add("hop_distance", lambda s, d: paths.distances(edges(s, d), _ids(s, d), cutoff=3.0, weight=None), _HOPS + "SELECT src, dst, d FROM best")
-_add("has_path", lambda s, d: paths.distances(edges(s, d), _ids(s, d).where("node % 10 = 0"), weight=None).select("src", "dst"), "SELECT src, dst FROM hop WHERE src % 10 = 0")
+_add("hop_distance", lambda s, d: paths.distances(thinned(s, d), _ids(s, d), cutoff=3.0, weight=None), _HOPS + "SELECT src, dst, d FROM best")
+_add("has_path", lambda s, d: paths.distances(thinned(s, d), _ids(s, d).where("node % 10 = 0"), weight=None).select("src", "dst"), "SELECT src, dst FROM hop WHERE src % 10 = 0")
 _WAYS = """, way AS (SELECT node AS src, node AS dst, 0.0::DOUBLE AS d FROM sn UNION SELECT w.src, s.v, w.d + s.w FROM way w JOIN sym s ON w.dst = s.u WHERE w.d + s.w <= 120 AND s.v <> w.src),
     near2 AS (SELECT src, dst, min(d) AS d FROM way GROUP BY src, dst) """
-_add("apsp_cutoff", lambda s, d: _r(paths.distances(edges(s, d), _ids(s, d), cutoff=120.0)), _WAYS + "SELECT src, dst, round(d, 6) AS d FROM near2")
+_add("apsp_cutoff", lambda s, d: _r(paths.distances(thinned(s, d), _ids(s, d), cutoff=120.0)), _WAYS + "SELECT src, dst, round(d, 6) AS d FROM near2")
 _add(
     "reach_metrics", lambda s, d: _r(_reach_metrics(s, d)),
     _WAYS + """, n AS (SELECT node, area AS raw, sqrt(area) AS w FROM sn WHERE area > 0),
@@ -224,13 +229,13 @@ _add(
 
 def _reach_metrics(s: SparkSession, d: str) -> DataFrame:
     n = reach.reach_nodes(nodes(s, d).withColumnRenamed("node", "patch_id"))
-    return reach.reach_metrics(n, reach.reach_distances(n, edges(s, d), 40.0), 40.0)
+    return reach.reach_metrics(n, reach.reach_distances(n, thinned(s, d), 40.0), 40.0)
 
 
-_add("pc_raw", lambda s, d: _r(pairs.pc_raw(paths.distances(edges(s, d), _ids(s, d), cutoff=120.0), nodes(s, d).select(F.col("node").alias("id"), "area"))), _WAYS + "SELECT round(sum(a.area * b.area * exp(-0.002 * d)), 6) AS pc FROM near2 JOIN sn a ON a.node = src JOIN sn b ON b.node = dst WHERE src < dst")
-_add("movement_entropy", lambda s, d: _r(graph.movement_entropy(edges(s, d), _ids(s, d))), ", e AS (SELECT u, exp(-0.002 * w) AS e FROM sym), p AS (SELECT e / sum(e) OVER (PARTITION BY u) AS p FROM e) SELECT round(coalesce((SELECT sum(-p * ln(p + 1e-10)) FROM p), 0) / (SELECT count(*) FROM sn), 6) AS entropy")
-_add("topology_penalty", lambda s, d: graph.topology(edges(s, d), _ids(s, d)), "SELECT (SELECT count(*) FROM sn) AS nodes, (SELECT count(*) FROM ed) AS edges, (SELECT count(DISTINCT component) FROM gcomp) AS components, CAST(greatest(0, (SELECT count(*) FROM ed) - ((SELECT count(*) FROM sn) - (SELECT count(DISTINCT component) FROM gcomp))) AS DOUBLE) AS penalty")
-_add("laplacian", lambda s, d: _r(graph.laplacian(edges(s, d))), "SELECT u AS i, v AS j, round(-w, 6) AS value FROM sym UNION ALL SELECT u, u, round(sum(w), 6) FROM sym GROUP BY u")
+_add("pc_raw", lambda s, d: _r(pairs.pc_raw(paths.distances(thinned(s, d), _ids(s, d), cutoff=120.0), nodes(s, d).select(F.col("node").alias("id"), "area"))), _WAYS + "SELECT round(sum(a.area * b.area * exp(-0.002 * d)), 6) AS pc FROM near2 JOIN sn a ON a.node = src JOIN sn b ON b.node = dst WHERE src < dst")
+_add("movement_entropy", lambda s, d: _r(graph.movement_entropy(thinned(s, d), _ids(s, d))), ", e AS (SELECT u, exp(-0.002 * w) AS e FROM sym), p AS (SELECT e / sum(e) OVER (PARTITION BY u) AS p FROM e) SELECT round(coalesce((SELECT sum(-p * ln(p + 1e-10)) FROM p), 0) / (SELECT count(*) FROM sn), 6) AS entropy")
+_add("topology_penalty", lambda s, d: graph.topology(thinned(s, d), _ids(s, d)), "SELECT (SELECT count(*) FROM sn) AS nodes, (SELECT count(*) FROM ed) AS edges, (SELECT count(DISTINCT component) FROM gcomp) AS components, CAST(greatest(0, (SELECT count(*) FROM ed) - ((SELECT count(*) FROM sn) - (SELECT count(DISTINCT component) FROM gcomp))) AS DOUBLE) AS penalty")
+_add("laplacian", lambda s, d: _r(graph.laplacian(thinned(s, d))), "SELECT u AS i, v AS j, round(-w, 6) AS value FROM sym UNION ALL SELECT u, u, round(sum(w), 6) FROM sym GROUP BY u")
 _add(
     "pair_metrics", lambda s, d: _r(pairs.pair_metrics(_read(s, d, "orders").select((1 + F.col("o_orderkey") % 97).cast("double").alias("euclid"), F.when(F.col("o_orderkey") % 5 > 0, (1 + F.col("o_orderkey") % 97 + F.col("o_custkey") % 31).cast("double")).alias("d")))),
     """, p AS (SELECT CAST(1 + o_orderkey % 97 AS DOUBLE) AS eu, CASE WHEN o_orderkey % 5 > 0 THEN CAST(1 + o_orderkey % 97 + o_custkey % 31 AS DOUBLE) END AS d FROM orders),
@@ -254,7 +259,7 @@ _add(
     SELECT p1, p2, round(length, 6) AS length, round(length, 6) AS cost, round(sqrt(a.cells * b.cells) / length, 6) AS base_roi FROM g JOIN tab a ON a.patch_id = p1 JOIN tab b ON b.patch_id = p2""",
 )
 _add(
-    "bridge_pairs", lambda s, d: _r(selection.bridge_pairs(*_graph_candidates(s, d)).select("scenario_id", "mid", "score", "total", F.least("a", "c").alias("a"), F.greatest("a", "c").alias("c"))),
+    "bridge_pairs", lambda s, d: _r(selection.bridge_pairs(*_graph_candidates(s, d, thinned)).select("scenario_id", "mid", "score", "total", F.least("a", "c").alias("a"), F.greatest("a", "c").alias("c"))),
     """, cand AS (SELECT u * 100000 + v AS seq, u, v, weight AS cost, sqrt(a.area * b.area) / weight AS roi FROM ed JOIN sn a ON a.node = u JOIN sn b ON b.node = v),
     ends AS (SELECT seq, cost, roi, u AS mid, v AS other FROM cand WHERE roi > 0 UNION ALL SELECT seq, cost, roi, v, u FROM cand WHERE roi > 0),
     top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mid ORDER BY roi DESC, seq) AS k FROM ends) WHERE k <= 25)
@@ -275,7 +280,7 @@ def _asked(s: SparkSession, d: str) -> DataFrame:
 
 
 _add("ring_resistance", lambda s, d: _r(graph.effective_resistance(_ring(s, d), _ring(s, d))), ", n AS (SELECT count(*) AS n FROM nation) SELECT CAST(n_nationkey AS BIGINT) AS u, CAST((n_nationkey + 1) % n AS BIGINT) AS v, round((n - 1) * 1.0 / n, 6) AS r FROM nation, n".replace("1.0", "1.0::DOUBLE"))
-_add("weighted_sssp", lambda s, d: _r(paths.distances(edges(s, d), _ids(s, d).where("node % 25 = 0"), through=True)))
+_add("weighted_sssp", lambda s, d: _r(paths.distances(edges(s, d), _ids(s, d), through=True)))
 _add("total_entropy", lambda s, d: _r(graph.total_entropy(edges(s, d), _ids(s, d))))
 _add("bridges", lambda s, d: graph.bridges(edges(s, d)))
 _add("two_edge_components", lambda s, d: graph.two_edge_components(edges(s, d), _ids(s, d)))
