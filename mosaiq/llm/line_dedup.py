@@ -1,8 +1,8 @@
 """Line dedup by pairwise alignment.
 
-Documents that share a rare line are aligned with patience diff, and blocks of aligned common lines
-go from the later one. For each rare line every later document is paired with the earliest that
-has it, never all with all.
+Documents that share a line are aligned with patience diff, and blocks of aligned common lines
+go from the later one. For each line every later document is paired with the earliest that has it,
+however many have it, never all with all.
 """
 
 from __future__ import annotations
@@ -18,9 +18,6 @@ from pyspark.sql import functions as F
 from mosaiq.llm.common import WORD, batches
 from mosaiq.scratch import Scratch
 
-#: A line is rare in at most so many different texts. Longer lines count as rare wherever they are, so that large
-#: families of near copies are found as well; shorter ones beyond it are boilerplate and pair no documents.
-RARE, LONG_WORDS = 100, 16
 #: A block of aligned lines must have so many words to go.
 BLOCK_WORDS = 8
 SALTS = 16
@@ -111,8 +108,8 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     firsts = marked.groupBy("same").agg(F.min("key").alias("first"))
     # One document of each class looks for partners.
     classes = cuts.cut(marked.dropDuplicates(["key"]).join(firsts.withColumnRenamed("same", "s"), (F.col("same") == F.col("s")) & (F.col("key") == F.col("first"))).select("key", "hs", "ws"), "classes")
-    entries = classes.select("key", F.explode(F.array_distinct(F.filter(F.zip_with("hs", "ws", lambda h, w: F.struct(h.alias("h"), w.alias("w"))), lambda x: x["h"].isNotNull()))).alias("x")).select("key", "x.h", "x.w")
-    sums = entries.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("w").alias("w"), F.min("key").alias("first")).where(f"n > 1 and (n <= {RARE} or w >= {LONG_WORDS})")
+    entries = classes.select("key", F.explode(F.array_distinct(solid)).alias("h"))
+    sums = entries.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first")).where("n > 1")
     salted = sums.select("h", "first", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > 1000, SALTS - 1).otherwise(0))).alias("salt"), (F.col("n") > 1000).alias("hot"))
     shared = entries.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
     cold = shared.join(salted.where("not hot").select("h", "first"), "h").select("key", "first")

@@ -280,6 +280,12 @@ def test_lines(spark, docs, none):
     assert line_dedup.patience([1, 2, 3, 4, 9], [5, 2, 3, 1, 4]) == [(1, 1), (2, 2), (3, 4)]
 
 
+def test_lines_in_many_texts(spark):
+    rows = [(i, f"{prose(1000 + i, 12)}\nsee our terms of\nuse before you order\n{prose(2000 + i, 12)}") for i in range(130)]
+    got = {r.doc_id: list(r.removed) for r in line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: [1, 2] if i else [] for i in range(130)}
+
+
 def brute_bytes(rows):
     seen, out = set(), {}
     for i, t in sorted(dict(rows).items()):
