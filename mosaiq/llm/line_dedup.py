@@ -1,8 +1,8 @@
 """Line dedup by pairwise alignment.
 
-Documents that share a line are aligned with patience diff, and blocks of aligned common lines
-go from the later one. For each line every later document is paired with the earliest that has it,
-however many have it, never all with all.
+Documents that share a line, or a run of lines that makes a block, are aligned with patience diff,
+and blocks of aligned common lines go from the later one. For each line and each run every later
+document is paired with the earliest that has it, however many have it, never all with all.
 """
 
 from __future__ import annotations
@@ -91,6 +91,18 @@ def _lines(text: Column) -> Column:
     return F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), one)
 
 
+def _runs(lines: Column) -> Column:
+    """Hashes of the shortest run of two lines or more from each line on that has BLOCK_WORDS words; every longer block holds one, or such a line."""
+    start = F.struct(F.lit(0).alias("w"), F.lit(0).cast("bigint").alias("h"), F.lit(0).alias("n"))
+
+    def add(a: Column, x: Column) -> Column:
+        return F.when(a["w"] >= BLOCK_WORDS, a).otherwise(F.struct((a["w"] + x["w"]).alias("w"), F.xxhash64(a["h"], x["h"]).alias("h"), (a["n"] + 1).alias("n")))
+
+    # A line has a word at least.
+    runs = F.transform(lines, lambda x, i: F.aggregate(F.slice(lines, i + 1, BLOCK_WORDS), start, add))
+    return F.transform(F.filter(runs, lambda r: (r["w"] >= BLOCK_WORDS) & (r["n"] > 1)), lambda r: r["h"])
+
+
 def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, key, n_lines and removed (ascending line numbers from 0) of every row.
 
@@ -108,7 +120,8 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     firsts = marked.groupBy("same").agg(F.min("key").alias("first"))
     # One document of each class looks for partners.
     classes = cuts.cut(marked.dropDuplicates(["key"]).join(firsts.withColumnRenamed("same", "s"), (F.col("same") == F.col("s")) & (F.col("key") == F.col("first"))).select("key", "hs", "ws"), "classes")
-    entries = classes.select("key", F.explode(F.array_distinct(solid)).alias("h"))
+    lines = F.filter(F.zip_with("hs", "ws", lambda h, w: F.struct(h.alias("h"), w.alias("w"))), lambda x: x["h"].isNotNull())
+    entries = classes.select("key", "hs", lines.alias("l")).select("key", F.explode(F.array_distinct(F.concat(solid, _runs(F.col("l"))))).alias("h"))
     sums = entries.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first")).where("n > 1")
     salted = sums.select("h", "first", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > 1000, SALTS - 1).otherwise(0))).alias("salt"), (F.col("n") > 1000).alias("hot"))
     shared = entries.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))

@@ -286,6 +286,14 @@ def test_lines_in_many_texts(spark):
     assert got == {i: [1, 2] if i else [] for i in range(130)}
 
 
+def test_lines_first_seen_apart(spark):
+    x, y, z = "see our terms of", "use before you order", "or call us"
+    texts = [(x, 1), (y, 2), (z, 3), (f"{x}\n{y}", 4), (f"{y}\n\n{z}\nnow then", 5), (f"{x}\n{y}", 6), (f"{y}\n{z}\nnow then", 7), (f"{x}\n{z}", 8)]
+    rows = [(i, f"{prose(3000 + i, 12)}\n{t}\n{prose(4000 + i, 12)}") for t, i in texts]
+    got = {r.doc_id: list(r.removed) for r in line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [], 3: [], 4: [], 5: [], 6: [1, 2], 7: [1, 2, 3], 8: []}
+
+
 def brute_bytes(rows):
     seen, out = set(), {}
     for i, t in sorted(dict(rows).items()):
