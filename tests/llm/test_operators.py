@@ -106,6 +106,18 @@ def test_lm_scoring(docs, none):
     assert lm_scoring.score(none, common.fold(none.doc_id, 5) != 1, path).count() == 0
 
 
+def test_network_learns_from_all_texts(spark, monkeypatch):
+    import public_tokenizers
+
+    path, seen, groups = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), [], []
+    train = lm_scoring.train
+    monkeypatch.setattr(lm_scoring, "train", lambda sample, *rest: (seen.append(sample.count()), groups.append(sample.select("shard").distinct().count()), train(sample, *rest))[2])
+    for n in (30, 1500):
+        texts = spark.createDataFrame([(i, prose(i, 4)) for i in range(n)], "doc_id long, text string")
+        lm_scoring.score(texts, common.fold(texts.doc_id, 1) == 0, path).count()
+    assert seen == [30, 1500] and groups == [1, 3]
+
+
 def test_network_gradients_and_windows():
     p = lm_scoring.Params(width=4, block=4, inputs=6, hashed=2, branch=3, shared=2)
     net = lm_scoring.Network(p, np.full(9, 1 / 9))
