@@ -2,13 +2,14 @@
 
 The base patterns give seed entities. The words beside identifier-like tokens are lexical patterns;
 pattern and instance scores pass over the pattern-instance graph in rounds, starting at the seeds.
-Tokens that only patterns of high confidence name are added. All of it is DataFrame expressions:
+Runs of such tokens that only patterns of high confidence name are added. All of it is DataFrame expressions:
 `split` at a pattern gives the gaps between matches, whose lengths give the positions.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mosaiq.llm.common import row_key
@@ -81,34 +82,46 @@ def count_kind(found: Column, kind: str) -> Column:
 
 
 def _tokens(text: Column) -> Column:
-    """Identifier-like tokens with their trimmed bounds and the word on each side."""
+    """Identifier-like pieces with their trimmed bounds, the word on each side, and whether only blanks part one from the piece before or punctuation ends it."""
     edge = r"^[\"'(\[<{,;:.!?]+|[\"')\]>},;:.!?]+$"
     lead = lambda m: F.length(m) - F.length(F.regexp_replace(m, r"^[\"'(\[<{,;:.!?]+", ""))
-    left = lambda g: F.regexp_extract(g, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)
-    near = lambda g: F.substring(g, -80, 80)  # noqa: E731  the word beside the token; a longer one is no pattern
-    ahead = lambda g: F.regexp_extract(F.substring(g, 1, 80), r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)", 1)
-    return F.transform(spans(text, TOKEN), lambda s: F.struct((s["start"] + lead(s["match"])).alias("start"), (s["start"] + lead(s["match"]) + F.length(F.regexp_replace(s["match"], edge, ""))).alias("end"), F.regexp_replace(s["match"], edge, "").alias("token"), F.lower(left(near(s["left"]))).alias("left"), F.lower(ahead(s["right"])).alias("right")))
+    left = lambda g: F.regexp_extract(g, r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)[\x20\x09-\x0D]*+$", 1)
+    ahead = lambda g: F.regexp_extract(g, r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)", 1)
+    goes_on = lambda s: s["left"].rlike(r"^[\x20\x09]+$")
+    ends = lambda m: m.rlike(r"[\"',;:.!?]$")
+    return F.transform(spans(text, TOKEN), lambda s: F.struct((s["start"] + lead(s["match"])).alias("start"), (s["start"] + lead(s["match"]) + F.length(F.regexp_replace(s["match"], edge, ""))).alias("end"), F.regexp_replace(s["match"], edge, "").alias("token"), F.lower(left(s["left"])).alias("left"), F.lower(ahead(s["right"])).alias("right"), goes_on(s).alias("goes_on"), ends(s["match"]).alias("ends")))
 
 
 def _facts(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     t = F.coalesce(docs[text], F.lit(""))
     df = docs.select(docs[doc_id].alias("doc_id"), row_key(docs[doc_id], docs[text]).alias("key"), t.alias("_t"))
     df = df.withColumn("_any", F.col("_t").rlike("[0-9@]"))
-    none, bare = F.array().cast("array<struct<start:int,kind:int,end:int>>"), F.array().cast("array<struct<start:int,end:int,token:string,left:string,right:string>>")
+    none, bare = F.array().cast("array<struct<start:int,kind:int,end:int>>"), F.array().cast("array<struct<start:int,end:int,token:string,left:string,right:string,goes_on:boolean,ends:boolean>>")
     return df.select("doc_id", "key", F.when(F.col("_any"), base_spans(F.col("_t"))).otherwise(none).alias("base"), F.when(F.col("_any"), _tokens(F.col("_t"))).otherwise(bare).alias("tokens"))
 
 
+def _instances(facts: DataFrame) -> DataFrame:
+    """(key, start, end, token, left, right, seed): the pieces of a base span, or a run of pieces outside them that only blanks part."""
+    t = facts.where(F.size("tokens") > 0).select("key", "base", F.posexplode("tokens").alias("pos", "t")).dropDuplicates(["key", "pos"])
+    over = F.filter("base", lambda s: (s["start"] < F.col("t.end")) & (s["end"] > F.col("t.start")))
+    t = t.select("key", "pos", "t.*", F.get(over, 0).alias("span"))
+    order = W.partitionBy("key").orderBy("pos")
+    alone = F.col("span").isNull() & (~F.col("goes_on") | F.lag("ends").over(order))
+    starts = F.lag("pos").over(order).isNull() | alone | ~F.col("span").eqNullSafe(F.lag("span").over(order))
+    t = t.withColumn("starts", F.coalesce(starts, F.lit(True)).cast("int")).withColumn("run", F.sum("starts").over(order))
+    pieces = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), " ")
+    runs = t.groupBy("key", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.lower(pieces).alias("token"), F.min_by("left", "pos").alias("left"), F.max_by("right", "pos").alias("right"), F.coalesce(F.first("span")["kind"], F.lit(-1)).alias("seed"))
+    return runs.drop("run").where("token <> ''")
+
+
 def _bootstrap(facts: DataFrame, cuts: Scratch) -> DataFrame:
-    """(key, start, end, kind) of tokens outside the base spans that high-confidence patterns name.
+    """(key, start, end, kind) of runs of identifier-like pieces outside the base spans that high-confidence patterns name.
 
-    A pattern is the word left of a token, the word right of it, or both. Its score for a kind is
-    the mean score of the distinct instances (token texts) it stands beside; an instance that is a
+    A pattern is the word left of an instance (a base span or a run), the word right of it, or both. Its score for a kind is
+    the mean score of the distinct instances (by text) it stands beside; an instance that is a
     seed of the kind scores 1, any other the best score among its patterns in the round before.
     """
-    t = facts.where(F.size("tokens") > 0).select("key", "base", F.explode("tokens").alias("t"))
-    over = F.filter("base", lambda s: (s["start"] < F.col("t.end")) & (s["end"] > F.col("t.start")))
-    t = t.select("key", "t.start", "t.end", F.lower("t.token").alias("token"), "t.left", "t.right", F.element_at(F.concat(F.transform(over, lambda s: s["kind"]), F.array(F.lit(-1))), 1).alias("seed"))
-    t = t.where((F.length("token") >= 5) & (F.length("token") <= 64))
+    t = _instances(facts)
     pats = F.array(F.concat(F.lit("l:"), "left"), F.concat(F.lit("r:"), "right"), F.concat(F.lit("b:"), "left", F.lit(" "), "right"))
     word = "^[lr]:.*\\p{L}|^b:.*\\p{L}.* .*\\p{L}"
     uses = cuts.cut(t.withColumn("pattern", F.explode(F.filter(pats, lambda p: p.rlike(word)))).drop("left", "right"), "uses")
@@ -135,7 +148,7 @@ def find_pii(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
 
     Positions count code points, the end is exclusive, and spans stand in the order of start, then
     kind. Null texts are empty. Rows that repeat id and text get the same spans. Added spans never
-    overlap base spans. Tokens of under 5 or over 64 characters aren't added.
+    overlap base spans.
     """
     cuts = Scratch(docs.sparkSession, "pii")
     facts = cuts.cut(_facts(docs, text, doc_id), "facts")

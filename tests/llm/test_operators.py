@@ -205,6 +205,14 @@ def test_pii_contexts_find_what_patterns_miss(spark):
     assert not got[50].base and [s.kind for s in got[50].spans] == [0]
 
 
+def test_pii_contexts_find_numbers_with_spaces(spark):
+    seen = [(i, f"w{'abc'[i % 3]} please call +1 (017) 555-{7700 + i} today") for i in range(40)]
+    more = {50: "please call 001 017 555 7713 today", 51: f"please call {'9x' * 50} today", 52: "please call 0171, 5557713 today"}
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.find_pii(spark.createDataFrame([*seen, *more.items()], "doc_id long, text string")).collect()}
+    assert all(got[i] == [(15, 3, 32)] for i in range(40))
+    assert got[50] == [(12, 3, 28)] and got[51] == [(12, 3, 112)] and len(got[52]) == 2
+
+
 def test_quality(spark, docs, none):
     shared = "This very line stands in all of them and is long enough to count"
     rows = [(i, "\n".join([shared] * 3 + [prose(i, 30 if i % 2 else 90)]), "h") for i in range(12)] + [(50, None, "h"), (51, "a b c a b c a b c d", None)]
