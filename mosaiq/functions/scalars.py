@@ -127,4 +127,4 @@ def disk_offsets(width: float) -> list[tuple[int, int]]:
 
 def connected_area(direct: Column, network: Column, corridor: Column, mode: str) -> Column:
     """What a corridor is credited with: its patches' area, its network's, or its own area per area joined."""
-    return _c(direct) if mode == "sum_direct_connected_area" else F.try_divide(_c(corridor), _c(direct)) if mode == "efficiency" else _c(network)
+    return _c(direct) if mode == "sum_direct_connected_patches" else F.try_divide(_c(corridor), _c(direct)) if mode == "efficiency" else _c(network)

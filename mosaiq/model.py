@@ -13,10 +13,13 @@ STRATEGIES = ("largest_single_network", "most_connected_habitat", "landscape_flu
 STRATEGY_ALIASES = {
     "largest_network": "largest_single_network",
     "single_network": "largest_single_network",
+    "bigconnect": "most_connected_habitat",
     "lsn": "largest_single_network",
     "most_connected_area": "most_connected_habitat",
     "circuit_utility": "most_connected_habitat",
     "mca": "most_connected_habitat",
+    "landscape_fluidity_a": "landscape_fluidity",
+    "landscape_fluidity_a1": "landscape_fluidity",
     "fluidity": "landscape_fluidity",
     "lf": "landscape_fluidity",
     "reachable_habitat": "reachable_habitat_advanced",
@@ -26,7 +29,8 @@ STRATEGY_ALIASES = {
 DEFAULT_STRATEGY = "most_connected_habitat"
 SCALINGS = {"sqrt": "sqrt", "square_root": "sqrt", "log": "log", "log1p": "log", "logarithmic": "log"}
 KERNELS = {"exponential": "exponential", "exp": "exponential", "negative_exponential": "exponential"}
-ASSIGNMENTS = {name: name for name in ("sum_direct_connected_area", "sum_total_network_area", "efficiency")}
+ASSIGNMENTS = {name: name for name in ("sum_direct_connected_patches", "sum_total_network_area", "efficiency")}
+ASSIGNMENTS |= {"sum_patches_connected": "sum_direct_connected_patches", "newly_connected_area": "sum_total_network_area"}
 #: Metres of a map unit, and conversions of areas.
 METRES = {"metre": 1.0, "meter": 1.0, "m": 1.0, "foot": 0.3048, "feet": 0.3048, "ft": 0.3048, "us_survey_foot": 0.3048006096}
 FOOT, ACRE_M2, ACRE_HA = 0.3048, 4046.8564224, 0.404685642
@@ -87,7 +91,7 @@ def to_cells(area: float, unit: str, cell_area_ha: float) -> int:
 
 @dataclass(frozen=True)
 class Scenario:
-    """Parameters of a run. Names that no operator reads are accepted: min_patch_size, allow_bottlenecks, mobility_*, shortcut_threshold."""
+    """Parameters of a run. Names that no operator reads are accepted: min_patch_size, mobility_lambda_intra, mobility_tau."""
 
     scenario_id: str = "scenario"
     strategy: str = DEFAULT_STRATEGY
@@ -118,6 +122,7 @@ class Scenario:
     mobility_detour_cap: float = 8.0
     shortcut_threshold: float = 3.0
     weights: tuple[float, float, float, float] = (0.2, 0.2, 0.2, 0.2)
+    redundancy_method: str = "ime"
     dispersal: float = 1000.0
     kernel: str = "exponential"
     scaling: str = "sqrt"

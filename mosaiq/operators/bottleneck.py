@@ -23,12 +23,37 @@ def distance_transform(inside: np.ndarray) -> np.ndarray:
         g[:, c] = np.where(inside[:, c], np.minimum(g[:, c], g[:, c - 1] + 1), 0)
     for c in range(cols - 2, -1, -1):
         g[:, c] = np.minimum(g[:, c], g[:, c + 1] + 1)
-    sq = np.minimum(g, far) ** 2
-    at = np.arange(rows)[:, None]
-    out = np.full(inside.shape, np.inf)
-    for r in range(rows):  # every row's parabola, over all rows at once
-        out = np.minimum(out, sq[r][None, :] + (at - r) ** 2)
-    return np.sqrt(out)
+    return np.sqrt(_lower_envelopes(np.minimum(g, far) ** 2))
+
+
+def _lower_envelopes(sq: np.ndarray) -> np.ndarray:
+    """min over s of sq[s] + (r - s)^2 for each row r, all columns side by side.
+
+    Each column holds the rows whose parabolas make its lower envelope, and from where on each is
+    the lowest; a new row drops those that it undercuts over all of their range.
+    """
+    rows, cols = sq.shape
+    owner, since = np.zeros((rows, cols), np.int64), np.full((rows + 1, cols), np.inf)
+    since[0] = -np.inf
+    top, every = np.zeros(cols, np.int64), np.arange(cols)
+    for r in range(1, rows):
+        busy = every
+        at = np.empty(cols)
+        while len(busy):
+            s = owner[top[busy], busy]
+            at[busy] = (sq[r, busy] + r * r - sq[s, busy] - s * s) / (2 * (r - s))
+            busy = busy[at[busy] <= since[top[busy], busy]]
+            top[busy] -= 1
+        top += 1
+        owner[top, every], since[top, every] = r, at
+        since[top + 1, every] = np.inf
+    out, top = np.empty_like(sq), np.zeros(cols, np.int64)
+    for r in range(rows):
+        while (ahead := since[top + 1, every] < r).any():
+            top += ahead
+        s = owner[top, every]
+        out[r] = sq[s, every] + (r - s) ** 2
+    return out
 
 
 def label_grid(mask: np.ndarray, diagonal: bool = False) -> np.ndarray:

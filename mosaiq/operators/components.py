@@ -36,10 +36,12 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, one_task: int =
     """(node, component): component is the least node reachable.
 
     edges: (u, v) long, any direction, loops and doubles allowed. nodes: (node) that are to be
-    listed besides the edges' ends. Small graphs, by count, are labelled in one task; others by
-    rounds of least-neighbour labels and pointer jumping, each written and read again.
+    listed besides the edges' ends. The edges are written first, so that what made them runs once
+    and on all tasks. Small graphs, by count, are labelled in one task; others by rounds of
+    least-neighbour labels and pointer jumping, each written and read again, with the same result.
     """
-    edges = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
+    cuts = Scratch(edges.sparkSession, "components")
+    edges = cuts.cut(edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")), "edges")
     if edges.limit(one_task + 1).count() <= one_task:
 
         def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -49,7 +51,7 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, one_task: int =
                 ids, low = label(all_.u.to_numpy(np.int64), all_.v.to_numpy(np.int64))
                 yield pd.DataFrame({"node": ids, "component": low})
 
-        out = edges.coalesce(1).mapInPandas(run, "node long, component long")
+        out = edges.repartition(1).mapInPandas(run, "node long, component long")
     else:
         out = _by_rounds(edges)
     if nodes is None:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -266,22 +264,3 @@ def loop_score(dist: DataFrame, candidates: DataFrame) -> DataFrame:
     """Candidates (u, v, weight) with `score`: the way through the graph over the weight, 0 without a way."""
     ways = dist.select(F.col("src").alias("u"), F.col("dst").alias("v"), "d")
     return candidates.join(ways, ["u", "v"], "left").withColumn("score", F.coalesce(F.col("d") / F.greatest("weight", F.lit(1e-9)), F.lit(0.0))).drop("d")
-
-
-def separated_pairs(points: list[tuple[int, float, float]], target: int, seed: int = 41) -> list[tuple[int, int]]:
-    """Pairs far apart: of the 4 * target farthest, `target` are drawn without replacement, weighted by distance. For a bounded sample of points."""
-    import random
-
-    if len(points) > 2000:
-        raise ValueError("sample the points first")
-    far = sorted(((-math.hypot(p[1] - q[1], p[2] - q[2]), p[0], q[0]) for i, p in enumerate(sorted(points)) for q in sorted(points)[i + 1 :]))[: max(target, 4 * target)]
-    rng, out = random.Random(seed), []
-    while far and len(out) < target:
-        at = rng.random() * sum(-d for d, _, _ in far)
-        for k, (d, u, v) in enumerate(far):  # noqa: B007
-            at += d
-            if at <= 0:
-                break
-        out.append((u, v))
-        far.pop(k)
-    return sorted(out)

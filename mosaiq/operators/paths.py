@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mosaiq.operators.components import components
 from mosaiq.scratch import Scratch
 
 MOST_ROUNDS = 10_000
@@ -57,15 +58,22 @@ def _with_before(dist: DataFrame, hops: DataFrame) -> DataFrame:
 
 def path(dist: DataFrame, src: int, dst: int) -> list[int]:
     """Nodes of a shortest path, from distances with `before`; one row per step is fetched."""
-    rows = {r.dst: r.before for r in dist.where(F.col("src") == src).collect()}
-    if dst not in rows:
-        raise NoPath(f"{src} to {dst}")
-    out = [dst]
+    mine, out = dist.where(F.col("src") == src), [dst]
     while out[-1] != src:
-        out.append(rows[out[-1]])
+        row = mine.where(F.col("dst") == out[-1]).select("before").first()
+        if row is None:
+            raise NoPath(f"{src} to {dst}")
+        out.append(row.before)
     return out[::-1]
 
 
+def has_path(edges: DataFrame, sources: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(src, dst) of each source (node) and each node that a way leads to, itself included: the nodes of its component."""
+    comp = components(edges, nodes)
+    of = comp.join(sources.distinct(), "node", "left_semi").select(F.col("node").alias("src"), "component")
+    return of.join(comp, "component").select("src", F.col("node").alias("dst"))
+
+
 def diameter(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """One row `diameter` in hops, null if the graph is empty or not connected."""
     dist = distances(edges, nodes, weight=None)

@@ -74,11 +74,14 @@ class Utility:
     whose score changed goes back in, and one that doesn't fit the budget is gone for good.
     """
 
-    def __init__(self, rows: pd.DataFrame, sizes: dict[int, float], budget: float) -> None:
-        self.rows, self.left, self.sizes = rows, budget, sizes
-        ids = {p for ps in rows.patch_ids for p in ps}
+    def __init__(self, rows: pd.DataFrame, sizes: dict[int, float], budget: float, ways: list[tuple[int, int, float]] = (), gate: float | None = None) -> None:
+        self.rows, self.left, self.sizes, self.gate = rows, budget, sizes, gate
+        ids = {p for ps in rows.patch_ids for p in ps} | {p for u, v, _ in ways for p in (u, v)}
         self.forest = Forest({p: float(sizes.get(p, 0.0)) for p in ids})
         self.near: dict[int, dict[int, float]] = defaultdict(dict)
+        for u, v, n in ways:
+            self.forest.join(u, v)
+            self.near[u][v] = self.near[v][u] = n
         self.of_pair: dict[tuple[int, int], deque] = defaultdict(lambda: deque(maxlen=PRIOR_KEPT))
         self.all: list[frozenset[int]] = []
         self.taken: set[int] = set()
@@ -133,6 +136,8 @@ class Utility:
         ps, n = self.rows.patch_ids[k], self.length(k)
         way = _way(self.near, ps[0], ps[-1]) if n > 0 else None
         ratio = None if way is None else way / max(n, 1e-9)
+        if self.gate is not None and ratio is not None and ratio < self.gate:
+            return None, 0.0
         m = MULT_LOW if n <= 0 else NO_PATH if ratio is None else MULT_HIGH if ratio >= RATIO_HIGH else MULT_MID if ratio >= RATIO_MID else MULT_LOW
         if over_all > 0:
             m *= max(FLOOR, 1 - over_all)
@@ -153,7 +158,7 @@ class Utility:
             roots = {self.forest.root(p) for p in ps}
             m, overlap = self.multiplier(k, roots)
             if m is None:
-                self.stats["overlap_rejected"] += 1
+                self.stats["rejected"] += 1
                 continue
             new = self.rows.base_roi[k] * m
             if abs(new + score) > 1e-12:
@@ -183,36 +188,50 @@ def bridge_pairs(candidates: DataFrame, sizes: DataFrame, budgets: DataFrame) ->
     return both.select("scenario_id", (F.sqrt(F.col("s_a") * F.col("s_c")) / F.col("total")).alias("score"), "total", "c1", "c2", "a", "c", "mid_seq", "mid", "k1", "k2")
 
 
-def select_utility(candidates: DataFrame, sizes: DataFrame, budgets: DataFrame, bridges: bool = True) -> DataFrame:
-    """Picks of every scenario. candidates: (scenario_id, cand_id, seq, patch_ids, cost, length, base_roi[, overlap_cells]); sizes: (patch_id, size), at most MOST; budgets: (scenario_id, budget)."""
+def select_utility(candidates: DataFrame, sizes: DataFrame, budgets: DataFrame, bridges: bool = True, ways: DataFrame | None = None, gate: float | None = None, trace: bool = False) -> DataFrame:
+    """Picks of every scenario. candidates: (scenario_id, cand_id, seq, patch_ids, cost, length, base_roi[, overlap_cells]); sizes: (patch_id, size), at most MOST; budgets: (scenario_id, budget).
+
+    ways: (u, v, length) that exist before any pick. gate: a corridor inside a network is a pick
+    only if the way there was is so many times as long. trace: instead of the picks, (scenario_id,
+    reason, n): how many were picked of each kind, rejected and skipped.
+    """
     cells = F.col("overlap_cells") if "overlap_cells" in candidates.columns else F.array().cast("array<bigint>")
     rows = candidates.join(budgets, "scenario_id").select("scenario_id", "cand_id", "seq", F.col("patch_ids").cast("array<bigint>").alias("patch_ids"), "cost", "length", "base_roi", cells.alias("cells"), "budget")
     used = rows.select("scenario_id", F.explode("patch_ids").alias("patch_id")).distinct().join(sizes, "patch_id").groupBy("scenario_id").agg(F.collect_list(F.struct("patch_id", "size")).alias("sizes"))
-    rows = rows.join(used, "scenario_id", "left").withColumn("sizes", F.when(F.row_number().over(W.partitionBy("scenario_id").orderBy("seq")) == 1, F.col("sizes")))
+    first = F.row_number().over(W.partitionBy("scenario_id").orderBy("seq")) == 1
+    if ways is None:
+        known = F.array().cast("array<struct<u:bigint,v:bigint,length:double>>")
+        rows = rows.join(used, "scenario_id", "left").withColumns({"sizes": F.when(first, F.col("sizes")), "ways": F.when(first, known)})
+    else:
+        known = ways.agg(F.collect_list(F.struct(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), F.col("length").cast("double").alias("length"))).alias("ways"))
+        rows = rows.join(used, "scenario_id", "left").crossJoin(known).withColumns({"sizes": F.when(first, F.col("sizes")), "ways": F.when(first, F.col("ways"))})  # one row
     pairs = bridge_pairs(candidates, sizes, budgets) if bridges else None
 
     def pick(key: tuple, rows: pd.DataFrame, pairs: pd.DataFrame | None = None) -> pd.DataFrame:
         rows = rows.sort_values("seq").reset_index(drop=True)
         if len(rows) > MOST:
             raise ValueError(f"scenario {key[0]} has {len(rows)} candidates")
+        names = ["scenario_id", "reason", "n"] if trace else ["scenario_id", "pick_order", "cand_id", "corr_type", "score", "overlap_ratio", "cost"]
         if not len(rows):
-            return pd.DataFrame(columns=["scenario_id", "pick_order", "cand_id", "corr_type", "score", "overlap_ratio", "cost"])
+            return pd.DataFrame(columns=names)
         got = next((x for x in rows.sizes if x is not None), [])
         rows["patch_ids"] = [list(map(int, x)) for x in rows.patch_ids]
         rows["cells"] = [frozenset(x) if x is not None else frozenset() for x in rows.cells]
-        u = Utility(rows, {r["patch_id"]: r["size"] for r in got}, float(rows.budget.iloc[0]))
+        there = next((x for x in rows.ways if x is not None), [])
+        u = Utility(rows, {r["patch_id"]: r["size"] for r in got}, float(rows.budget.iloc[0]), [(r["u"], r["v"], r["length"]) for r in there], gate)
         if pairs is not None and len(pairs):
             at = dict(zip(rows.cand_id, rows.index, strict=True))
             p = pairs.sort_values(["mid_seq", "mid", "k1", "k2"]).sort_values("score", ascending=False, kind="stable")
             u.bridge([(r.score, r.total, at[r.c1], at[r.c2], int(r.a), int(r.c)) for r in p.itertuples()])
         u.run()
-        return pd.DataFrame([(key[0], *x) for x in u.picks], columns=["scenario_id", "pick_order", "cand_id", "corr_type", "score", "overlap_ratio", "cost"])
+        return pd.DataFrame([(key[0], *x) for x in (sorted(u.stats.items()) if trace else u.picks)], columns=names)
 
+    schema = "scenario_id string, reason string, n long" if trace else PICKS
     if pairs is None:
-        return rows.groupBy("scenario_id").applyInPandas(lambda key, df: pick(key, df), PICKS)
+        return rows.groupBy("scenario_id").applyInPandas(lambda key, df: pick(key, df), schema)
     # Both sides come from the same candidates: new names keep their columns apart.
     pairs = pairs.toDF(*pairs.columns).select(F.col("scenario_id").alias("of"), *pairs.columns[1:])
-    return rows.groupBy("scenario_id").cogroup(pairs.groupBy("of")).applyInPandas(lambda key, a, b: pick(key, a, b), PICKS)
+    return rows.groupBy("scenario_id").cogroup(pairs.groupBy("of")).applyInPandas(lambda key, a, b: pick(key, a, b), schema)
 
 
 def backbone(edges: pd.DataFrame, sizes: dict[int, float], budget: float, loop_fraction: float | None = 0.05, most_loops: int = 2) -> tuple[list[tuple[int, str]], Forest, float]:

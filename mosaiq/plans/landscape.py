@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mosaiq.functions.scalars import delta_percent, format_value
 from mosaiq.model import Scenario
-from mosaiq.operators import candidates, grid, pairs, selection
+from mosaiq.operators import bottleneck, candidates, grid, pairs, selection
 from mosaiq.operators.components import components
 from mosaiq.operators.graph import flow_resistance_index
 from mosaiq.operators.paths import grid_distances
@@ -78,7 +79,7 @@ def landscape_report(pre: DataFrame, post: DataFrame, s: Scenario, res_x: float
     fluid = [given.get(f"fluidity_{side}", -1.0) for side in ("pre", "post")]
     rows["fluidity"] = fluid if min(fluid) >= 0 else [1 / max(r, 1e-9) for r in rows["path_resistance"]]
     w = s.normal_weights()
-    rows["composite"] = [sum(a * b for a, b in zip(w, x, strict=True)) for x in zip(rows["mesh_norm"], rows["lcc_norm"], rows["pc"], rows["ime"], strict=True)]
+    rows["composite"] = [sum(a * b for a, b in zip(w, x, strict=True)) for x in zip(rows["mesh_norm"], rows["lcc_norm"], rows["pc"], rows["fri" if s.redundancy_method.strip().lower() == "fri" else "ime"], strict=True)]
     df = spark.createDataFrame([(k, float(a), float(b), k in PRINTED) for k, (a, b) in rows.items()], "metric string, pre double, post double, printed boolean")
     return df.select("metric", "pre", "post", delta_percent(F.col("pre"), F.col("post")).alias("delta_pct"), "printed")
 
@@ -114,9 +115,10 @@ def report_lines(report: DataFrame) -> DataFrame:
     texts = spark.createDataFrame([(k, n, *v) for n, (k, v) in enumerate(PRINTED.items(), 2)], "metric string, n int, name string, decimals int, description string, source string")
     rows = report.where("printed").join(F.broadcast(texts), "metric")  # four rows
     show = lambda c: F.when(F.col("decimals") == 4, format_value(F.col(c), 4)).otherwise(format_value(F.col(c), 2))
-    delta = F.when(F.col("metric") == "connected_area", "n/a").otherwise(F.format_string("%+.2f%%", "delta_pct"))
+    delta = F.when(F.col("metric") == "connected_area", "n/a").otherwise(F.format_string("%+.3f%%", "delta_pct"))
     fields = (("name", 44), (show("pre"), 15), (show("post"), 15), (delta, 11), ("description", 72), ("source", 26))
-    line = F.concat_ws(" | ", *[F.rpad(F.col(c) if isinstance(c, str) else c, n, " ") for c, n in fields])
+    wide = lambda c, n: F.concat(c, F.repeat(F.lit(" "), F.greatest(F.lit(0), n - F.length(c))))  # noqa: E731  longer texts are not cut
+    line = F.concat_ws(" | ", *[wide(F.col(c) if isinstance(c, str) else c, n) for c, n in fields])
     head = " | ".join(t.ljust(n) for t, n in zip(("METRIC NAME", "PRE", "POST", "DELTA %", "DESCRIPTION", "SOURCE"), (44, 15, 15, 11, 72, 26), strict=True))
     top = spark.createDataFrame([(0, head), (1, "-" * len(head))], "n int, line string")
     return top.union(rows.select("n", line.alias("line")))
@@ -138,12 +140,55 @@ def run_scenarios(labelled: DataFrame, table: DataFrame, runs: list[Scenario], c
                 picks = selection.largest_network(selection.select_backbone(ends, budget), own, sizes)
             elif s.strategy == "reachable_habitat_advanced":
                 picks = selection.select_reach(own, reach_nodes(table, s.scaling, s.min_species_area), budget, s.dispersal)
+            elif s.strategy == "landscape_fluidity":
+                picks = _fluidity(own, labelled, table, budget, s)
             else:
                 picks = selection.select_utility(own, sizes, budget)
+            picks = cuts.cut(picks, f"picks-{s.scenario_id}")
+            if s.strategy != "landscape_fluidity":
+                more = selection.fill_budget(own, picks, budget)
+                n = picks.agg(F.coalesce(F.max("pick_order"), F.lit(0)).alias("n"))
+                picks = picks.union(more.crossJoin(n).withColumn("pick_order", F.col("pick_order") + F.col("n")).drop("n"))  # one row
             out = picks if out is None else out.union(picks)
     return out
 
 
+def _fluidity(found: DataFrame, labelled: DataFrame, table: DataFrame, budget: DataFrame, s: Scenario) -> DataFrame:
+    """Picks over patches cut at their narrow passages: a passage is a way of its resistance, and a corridor inside a network must shorten ways by the shortcut threshold.
+
+    Corridors end at the part of a patch on whose side they touch it. Where bottlenecks are not
+    allowed, patches stay whole and no way exists before the first pick.
+    """
+    table = table.select("patch_id", "cells")
+    narrow = bottleneck.detect(labelled) if s.allow_bottlenecks else bottleneck.detect(labelled.limit(0))
+    subs, passages = bottleneck.decompose(table, Scratch(labelled.sparkSession, "fluidity").cut(narrow, "passages"))
+    ends = found.select("cand_id", F.col("p1").alias("patch_id"), F.col("r1").alias("row"), F.col("c1").alias("col"), F.lit(0).alias("end")).union(found.select("cand_id", "p2", "r2", "c2", F.lit(1)))
+    nodes = bottleneck.to_subnodes(ends, passages).groupBy("cand_id").agg(F.max(F.when(F.col("end") == 0, F.col("node"))).alias("a"), F.max(F.when(F.col("end") == 1, F.col("node"))).alias("b"))
+    sizes = subs.select(F.col("node").alias("patch_id"), F.col("size").cast("double").alias("size"))
+    area = lambda k: sizes.select(F.col("patch_id").alias(k), F.col("size").alias(f"s{k}"))
+    cut = found.drop("patch_ids", "base_roi").join(nodes, "cand_id").join(area("a"), "a").join(area("b"), "b")
+    cut = cut.withColumns({"patch_ids": F.array("a", "b"), "base_roi": F.sqrt(F.col("sa") * F.col("sb")) / F.col("cost")})
+    return selection.select_utility(cut, sizes, budget, ways=passages.select(F.col("node_a").alias("u"), F.col("node_b").alias("v"), F.col("resistance").alias("length")), gate=s.shortcut_threshold)
+
+
+def network_stats(picks: DataFrame, found: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(scenario_id, key, value) of the networks that picks make of patches (patch_id, size): components_remaining, total_connected_area, largest_group_area, avg_degree and redundant_links.
+
+    found: (scenario_id, cand_id, patch_ids) of all candidates.
+    """
+    order = picks.select("scenario_id").distinct().withColumn("s", F.row_number().over(W.orderBy("scenario_id")).cast("long"))
+    e = picks.join(found.select("scenario_id", "cand_id", "patch_ids"), ["scenario_id", "cand_id"]).join(order, "scenario_id").withColumn("p", F.explode("patch_ids"))
+    # Nodes of different scenarios are kept apart by a number in the upper bits.
+    e = e.select("scenario_id", "s", "cand_id", "corr_type", (F.shiftleft("s", 40) + F.get("patch_ids", 0)).alias("u"), (F.shiftleft("s", 40) + F.col("p")).alias("v"))
+    every = order.crossJoin(sizes.select("patch_id", "size")).select("scenario_id", (F.shiftleft("s", 40) + F.col("patch_id")).alias("node"), "size")  # a row for each scenario and patch
+    comp = components(e, every.select("node"))
+    groups = every.join(comp, "node").groupBy("scenario_id", "component").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    parts = groups.groupBy("scenario_id").agg(F.count(F.lit(1)).cast("double").alias("components_remaining"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("size"))), F.lit(0.0)).alias("total_connected_area"), F.max("size").alias("largest_group_area"), F.sum("n").alias("n"))
+    links = e.where("u <> v").groupBy("scenario_id").agg(F.count(F.lit(1)).alias("m"), F.count_distinct(F.when(F.col("corr_type") == "redundant", F.col("cand_id"))).cast("double").alias("redundant_links"))
+    wide = parts.join(links, "scenario_id", "left").select("scenario_id", "components_remaining", "total_connected_area", "largest_group_area", (2 * F.coalesce("m", F.lit(0)) / F.col("n")).alias("avg_degree"), F.coalesce("redundant_links", F.lit(0.0)).alias("redundant_links"))
+    return wide.unpivot("scenario_id", wide.columns[1:], "key", "value")
+
+
 def scenario_stats(picks: DataFrame, budgets: DataFrame) -> DataFrame:
     """(scenario_id, key, value): corridors used, budget used and total, primary, redundant and wasteful links."""
     n = lambda k: F.count(F.when(F.col("corr_type") == k, 1)).cast("double").alias(k)

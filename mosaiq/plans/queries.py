@@ -57,11 +57,6 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
     return both.groupBy("u", "v").agg((1000.0 / F.count(F.lit(1))).alias("weight"))
 
 
-def thinned(spark: SparkSession, sf: str) -> DataFrame:
-    """One edge in 23, as the given SQL part `ed` has it: only for queries that are held against that SQL."""
-    return edges(spark, sf).where("(u * 31 + v * 17) % 23 = 0")
-
-
 def _r(df: DataFrame) -> DataFrame:
     """Doubles at six places."""
     return df.select(*[(F.round(c, 6) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
@@ -97,7 +92,8 @@ _PARTS = {
     "touch": "SELECT DISTINCT corridor_id, patch_id FROM corr c JOIN labelled l ON abs(c.row - l.row) <= 1 AND abs(c.col - l.col) <= 1",
     "sn": "SELECT s_suppkey AS node, CAST(coalesce(n, 0) AS DOUBLE) AS area, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) ON s_suppkey = l_suppkey LEFT JOIN embeddings ON vec_id = s_suppkey",
     "li": "SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem",
-    "ed": "SELECT a.l_suppkey AS u, b.l_suppkey AS v, 1000.0::DOUBLE / count(*) AS weight FROM li a JOIN li b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey WHERE (a.l_suppkey * 31 + b.l_suppkey * 17) % 23 = 0 GROUP BY 1, 2",
+    "ed": "SELECT a.l_suppkey AS u, b.l_suppkey AS v, 1000.0::DOUBLE / count(*) AS weight FROM li a JOIN li b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2",
+    "mk": "SELECT CAST(c_nationkey AS BIGINT) AS u, 1000 + c_custkey AS v, TRUE AS leaf FROM customer",
     "sym": "SELECT u, v, weight AS w FROM ed UNION ALL SELECT v, u, weight FROM ed",
     "hop": "SELECT node AS src, node AS dst FROM sn UNION SELECT h.src, s.v FROM hop h JOIN sym s ON h.dst = s.u",
     "gcomp": "SELECT src AS node, min(dst) AS component FROM hop GROUP BY src",
@@ -139,11 +135,11 @@ def _points(table: DataFrame) -> DataFrame:
     return table.select(F.col("patch_id").alias("id"), "x", "y")
 
 
-def _graph_candidates(spark: SparkSession, sf: str, graph_of: Query = edges) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _graph_candidates(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(candidates, sizes, budgets) of two scenarios."""
     n = nodes(spark, sf)
     a = lambda k: n.select(F.col("node").alias(k), F.col("area").alias(f"a{k}"))
-    e = graph_of(spark, sf).join(a("u"), "u").join(a("v"), "v")
+    e = edges(spark, sf).join(a("u"), "u").join(a("v"), "v")
     seq = F.col("u") * 100_000 + F.col("v")
     c = e.select(seq.alias("cand_id"), seq.alias("seq"), "u", "v", F.array("u", "v").alias("patch_ids"), F.col("weight").alias("length"), F.col("weight").alias("cost"), (F.sqrt(F.col("au") * F.col("av")) / F.col("weight")).alias("base_roi"))
     budgets = spark.createDataFrame([("large", 3000.0), ("small", 600.0)], "scenario_id string, budget double")
@@ -207,16 +203,16 @@ def _ids(s: SparkSession, d: str) -> DataFrame:
     return nodes(s, d).select("node")
 
 
-_add("graph_subgraph", lambda s, d: _r(graph.subgraph(thinned(s, d), _ids(s, d).where("node % 2 = 0"))), "SELECT u, v, round(weight, 6) AS weight FROM ed WHERE u % 2 = 0 AND v % 2 = 0")
-_add("graph_components", lambda s, d: components.components(thinned(s, d), _ids(s, d)), "SELECT node, component FROM gcomp")
-_add("graph_component_sizes", lambda s, d: components.sizes(components.components(thinned(s, d), _ids(s, d)), nodes(s, d).select("node", F.col("area").alias("size"))), "SELECT component, count(*) AS n, sum(area) AS size FROM gcomp JOIN sn USING (node) GROUP BY component")
+_add("graph_subgraph", lambda s, d: _r(graph.subgraph(edges(s, d), _ids(s, d).where("node % 2 = 0"))), "SELECT u, v, round(weight, 6) AS weight FROM ed WHERE u % 2 = 0 AND v % 2 = 0")
+_add("graph_components", lambda s, d: components.components(edges(s, d), _ids(s, d)), "SELECT node, component FROM gcomp")
+_add("graph_component_sizes", lambda s, d: components.sizes(components.components(edges(s, d), _ids(s, d)), nodes(s, d).select("node", F.col("area").alias("size"))), "SELECT component, count(*) AS n, sum(area) AS size FROM gcomp JOIN sn USING (node) GROUP BY component")
 _HOPS = """, lev AS (SELECT node AS src, node AS dst, 0 AS d FROM sn UNION SELECT l.src, s.v, l.d + 1 FROM lev l JOIN sym s ON l.dst = s.u WHERE l.d < 3),
     best AS (SELECT src, dst, CAST(min(d) AS DOUBLE) AS d FROM lev GROUP BY src, dst) """
-_add("hop_distance", lambda s, d: paths.distances(thinned(s, d), _ids(s, d), cutoff=3.0, weight=None), _HOPS + "SELECT src, dst, d FROM best")
-_add("has_path", lambda s, d: paths.distances(thinned(s, d), _ids(s, d).where("node % 10 = 0"), weight=None).select("src", "dst"), "SELECT src, dst FROM hop WHERE src % 10 = 0")
+_add("hop_distance", lambda s, d: paths.distances(edges(s, d), _ids(s, d), cutoff=3.0, weight=None), _HOPS + "SELECT src, dst, d FROM best")
+_add("has_path", lambda s, d: paths.has_path(edges(s, d), _ids(s, d), _ids(s, d)), "SELECT src, dst FROM hop")
 _WAYS = """, way AS (SELECT node AS src, node AS dst, 0.0::DOUBLE AS d FROM sn UNION SELECT w.src, s.v, w.d + s.w FROM way w JOIN sym s ON w.dst = s.u WHERE w.d + s.w <= 120 AND s.v <> w.src),
     near2 AS (SELECT src, dst, min(d) AS d FROM way GROUP BY src, dst) """
-_add("apsp_cutoff", lambda s, d: _r(paths.distances(thinned(s, d), _ids(s, d), cutoff=120.0)), _WAYS + "SELECT src, dst, round(d, 6) AS d FROM near2")
+_add("apsp_cutoff", lambda s, d: _r(paths.distances(edges(s, d), _ids(s, d), cutoff=120.0)), _WAYS + "SELECT src, dst, round(d, 6) AS d FROM near2")
 _add(
     "reach_metrics", lambda s, d: _r(_reach_metrics(s, d)),
     _WAYS + """, n AS (SELECT node, area AS raw, sqrt(area) AS w FROM sn WHERE area > 0),
@@ -229,13 +225,13 @@ _add(
 
 def _reach_metrics(s: SparkSession, d: str) -> DataFrame:
     n = reach.reach_nodes(nodes(s, d).withColumnRenamed("node", "patch_id"))
-    return reach.reach_metrics(n, reach.reach_distances(n, thinned(s, d), 40.0), 40.0)
+    return reach.reach_metrics(n, reach.reach_distances(n, edges(s, d), 40.0), 40.0)
 
 
-_add("pc_raw", lambda s, d: _r(pairs.pc_raw(paths.distances(thinned(s, d), _ids(s, d), cutoff=120.0), nodes(s, d).select(F.col("node").alias("id"), "area"))), _WAYS + "SELECT round(sum(a.area * b.area * exp(-0.002 * d)), 6) AS pc FROM near2 JOIN sn a ON a.node = src JOIN sn b ON b.node = dst WHERE src < dst")
-_add("movement_entropy", lambda s, d: _r(graph.movement_entropy(thinned(s, d), _ids(s, d))), ", e AS (SELECT u, exp(-0.002 * w) AS e FROM sym), p AS (SELECT e / sum(e) OVER (PARTITION BY u) AS p FROM e) SELECT round(coalesce((SELECT sum(-p * ln(p + 1e-10)) FROM p), 0) / (SELECT count(*) FROM sn), 6) AS entropy")
-_add("topology_penalty", lambda s, d: graph.topology(thinned(s, d), _ids(s, d)), "SELECT (SELECT count(*) FROM sn) AS nodes, (SELECT count(*) FROM ed) AS edges, (SELECT count(DISTINCT component) FROM gcomp) AS components, CAST(greatest(0, (SELECT count(*) FROM ed) - ((SELECT count(*) FROM sn) - (SELECT count(DISTINCT component) FROM gcomp))) AS DOUBLE) AS penalty")
-_add("laplacian", lambda s, d: _r(graph.laplacian(thinned(s, d))), "SELECT u AS i, v AS j, round(-w, 6) AS value FROM sym UNION ALL SELECT u, u, round(sum(w), 6) FROM sym GROUP BY u")
+_add("pc_raw", lambda s, d: (pairs.pc_raw(paths.distances(edges(s, d), _ids(s, d), cutoff=120.0), nodes(s, d).select(F.col("node").alias("id"), "area"))).select(F.round("pc", 2).alias("pc")), _WAYS + "SELECT round(sum(a.area * b.area * exp(-0.002 * d)), 2) AS pc FROM near2 JOIN sn a ON a.node = src JOIN sn b ON b.node = dst WHERE src < dst")
+_add("movement_entropy", lambda s, d: _r(graph.movement_entropy(edges(s, d), _ids(s, d))), ", e AS (SELECT u, exp(-0.002 * w) AS e FROM sym), p AS (SELECT e / sum(e) OVER (PARTITION BY u) AS p FROM e) SELECT round(coalesce((SELECT sum(-p * ln(p + 1e-10)) FROM p), 0) / (SELECT count(*) FROM sn), 6) AS entropy")
+_add("topology_penalty", lambda s, d: graph.topology(edges(s, d), _ids(s, d)), "SELECT (SELECT count(*) FROM sn) AS nodes, (SELECT count(*) FROM ed) AS edges, (SELECT count(DISTINCT component) FROM gcomp) AS components, CAST(greatest(0, (SELECT count(*) FROM ed) - ((SELECT count(*) FROM sn) - (SELECT count(DISTINCT component) FROM gcomp))) AS DOUBLE) AS penalty")
+_add("laplacian", lambda s, d: _r(graph.laplacian(edges(s, d))), "SELECT u AS i, v AS j, round(-w, 6) AS value FROM sym UNION ALL SELECT u, u, round(sum(w), 6) FROM sym GROUP BY u")
 _add(
     "pair_metrics", lambda s, d: _r(pairs.pair_metrics(_read(s, d, "orders").select((1 + F.col("o_orderkey") % 97).cast("double").alias("euclid"), F.when(F.col("o_orderkey") % 5 > 0, (1 + F.col("o_orderkey") % 97 + F.col("o_custkey") % 31).cast("double")).alias("d")))),
     """, p AS (SELECT CAST(1 + o_orderkey % 97 AS DOUBLE) AS eu, CASE WHEN o_orderkey % 5 > 0 THEN CAST(1 + o_orderkey % 97 + o_custkey % 31 AS DOUBLE) END AS d FROM orders),
@@ -259,14 +255,17 @@ _add(
     SELECT p1, p2, round(length, 6) AS length, round(length, 6) AS cost, round(sqrt(a.cells * b.cells) / length, 6) AS base_roi FROM g JOIN tab a ON a.patch_id = p1 JOIN tab b ON b.patch_id = p2""",
 )
 _add(
-    "bridge_pairs", lambda s, d: _r(selection.bridge_pairs(*_graph_candidates(s, d, thinned)).select("scenario_id", "mid", "score", "total", F.least("a", "c").alias("a"), F.greatest("a", "c").alias("c"))),
+    "bridge_pairs", lambda s, d: _r(selection.bridge_pairs(*_graph_candidates(s, d)).select("scenario_id", "mid", "score", "total", F.least("a", "c").alias("a"), F.greatest("a", "c").alias("c"))),
     """, cand AS (SELECT u * 100000 + v AS seq, u, v, weight AS cost, sqrt(a.area * b.area) / weight AS roi FROM ed JOIN sn a ON a.node = u JOIN sn b ON b.node = v),
     ends AS (SELECT seq, cost, roi, u AS mid, v AS other FROM cand WHERE roi > 0 UNION ALL SELECT seq, cost, roi, v, u FROM cand WHERE roi > 0),
     top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mid ORDER BY roi DESC, seq) AS k FROM ends) WHERE k <= 25)
     SELECT scenario_id, x.mid, round(sqrt(a.area * c.area) / (x.cost + y.cost), 6) AS score, round(x.cost + y.cost, 6) AS total, x.other AS a, y.other AS c
     FROM (VALUES ('large', 3000.0), ('small', 600.0)) q(scenario_id, budget), top x JOIN top y ON x.mid = y.mid AND x.other < y.other JOIN sn a ON a.node = x.other JOIN sn c ON c.node = y.other WHERE x.cost + y.cost <= budget AND a.area > 0 AND c.area > 0""",
 )
-_add("diameter", lambda s, d: paths.diameter(_ring(s, d), _ring(s, d).select(F.col("u").alias("node"))), ", n AS (SELECT count(*) AS n FROM nation) SELECT CAST(n // 2 AS BIGINT) AS diameter FROM n")
+_LEVELS = """, lev AS (SELECT node AS src, node AS dst, 0 AS d FROM sn UNION SELECT l.src, s.v, l.d + 1 FROM lev l JOIN sym s ON l.dst = s.u WHERE l.d < 6),
+    far AS (SELECT max(d) AS far, count(*) = (SELECT count(*) ** 2 FROM sn) AS whole FROM (SELECT src, dst, min(d) AS d FROM lev GROUP BY src, dst)) """
+_add("diameter", lambda s, d: paths.diameter(edges(s, d), _ids(s, d)), _LEVELS + "SELECT CASE WHEN whole THEN CAST(far AS BIGINT) END AS diameter FROM far")
+_add("ring_diameter", lambda s, d: paths.diameter(_ring(s, d), _ring(s, d).select(F.col("u").alias("node"))), ", n AS (SELECT count(*) AS n FROM nation) SELECT CAST(n // 2 AS BIGINT) AS diameter FROM n")
 
 
 def _ring(s: SparkSession, d: str) -> DataFrame:
@@ -275,21 +274,46 @@ def _ring(s: SparkSession, d: str) -> DataFrame:
     return _read(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("u"), ((F.col("n_nationkey") + 1) % n).cast("long").alias("v"), F.lit(1.0).alias("weight"))
 
 
+def market(s: SparkSession, d: str) -> DataFrame:
+    """(u, v, weight): the ring of the nations, and each customer (from 1000 on) hanging on its nation."""
+    c = _read(s, d, "customer").select(F.col("c_nationkey").cast("long").alias("u"), (1000 + F.col("c_custkey")).alias("v"), (1 + F.col("c_custkey") % 7).cast("double").alias("weight"))
+    return c.union(_ring(s, d))
+
+
+def _market_ids(s: SparkSession, d: str) -> DataFrame:
+    return _ring(s, d).select(F.col("u").alias("node")).union(market(s, d).select("v").where("v >= 1000"))
+
+
+#: Customers and nations; all pairs of nations stay joined whatever edge is lost, no other pair does.
+_COUNTS = "(SELECT (SELECT count(*) FROM customer) AS c, (SELECT count(*) FROM nation) AS k)"
+_RHO = "k * (k - 1) / ((c + k) * (c + k - 1))"
+
+
 def _asked(s: SparkSession, d: str) -> DataFrame:
     return edges(s, d).select("u", "v", F.lit(1.0).alias("euclid"), F.lit(1.0).alias("weight_pair"))
 
 
 _add("ring_resistance", lambda s, d: _r(graph.effective_resistance(_ring(s, d), _ring(s, d))), ", n AS (SELECT count(*) AS n FROM nation) SELECT CAST(n_nationkey AS BIGINT) AS u, CAST((n_nationkey + 1) % n AS BIGINT) AS v, round((n - 1) * 1.0 / n, 6) AS r FROM nation, n".replace("1.0", "1.0::DOUBLE"))
 _add("weighted_sssp", lambda s, d: _r(paths.distances(edges(s, d), _ids(s, d), through=True)))
-_add("total_entropy", lambda s, d: _r(graph.total_entropy(edges(s, d), _ids(s, d))))
+_add("total_entropy", lambda s, d: _r(graph.total_entropy(edges(s, d), _ids(s, d))), _LEVELS + """, e AS (SELECT u, exp(-0.002 * w) AS e FROM sym), p AS (SELECT e / sum(e) OVER (PARTITION BY u) AS p FROM e), c AS (SELECT (SELECT count(*) FROM sn) AS n, (SELECT count(*) FROM ed) AS m, (SELECT count(DISTINCT component) FROM gcomp) AS k)
+    SELECT round(coalesce((SELECT sum(-p * ln(p + 1e-10)) FROM p), 0) / n + (k - 1) + greatest(0, m - (n - k)) + CASE WHEN n < 2 THEN 0 WHEN whole THEN far / n ELSE 1 END, 6) AS total FROM c, far""")
 _add("bridges", lambda s, d: graph.bridges(edges(s, d)))
 _add("two_edge_components", lambda s, d: graph.two_edge_components(edges(s, d), _ids(s, d)))
 _add("redundancy", lambda s, d: _r(graph.redundancy(edges(s, d), _ids(s, d))))
 _add("effective_resistance", lambda s, d: _r(graph.effective_resistance(edges(s, d), _asked(s, d))))
 _add("mean_resistance", lambda s, d: _r(graph.mean_resistance(edges(s, d), _asked(s, d))))
 _add("weighted_mean_resistance", lambda s, d: _r(graph.mean_resistance(edges(s, d), _asked(s, d), weighted=True)))
-_add("algebraic_connectivity", lambda s, d: _r(graph.algebraic_connectivity(_ring(s, d), _ring(s, d).select(F.col("u").alias("node")))))
-_add("resistance_score", lambda s, d: _r(graph.resistance_score(_ring(s, d), _ring(s, d).select(F.col("u").alias("node")))))
+_add("algebraic_connectivity", lambda s, d: _r(graph.algebraic_connectivity(_ring(s, d), _ring(s, d).select(F.col("u").alias("node")))), "SELECT round(2 - 2 * cos(2 * pi() / count(*)), 6) AS lambda2 FROM nation")
+_add("resistance_score", lambda s, d: _r(graph.resistance_score(_ring(s, d), _ring(s, d).select(F.col("u").alias("node")))), "SELECT round(12.0 / (count(*) * (count(*) ** 2 - 1)), 6) AS score FROM nation")
+_add("ring_mean_resistance", lambda s, d: _r(graph.mean_resistance(_ring(s, d), _ring(s, d).withColumn("euclid", F.lit(1.0)))), "SELECT round((count(*) - 1) / count(*), 6) AS r FROM nation")
+_add("market_bridges", lambda s, d: graph.bridges(market(s, d)), "SELECT u, v FROM mk WHERE leaf")
+_add("market_two_edge_components", lambda s, d: graph.two_edge_components(market(s, d), _market_ids(s, d)), "SELECT CAST(n_nationkey AS BIGINT) AS node, 0::BIGINT AS component FROM nation UNION ALL SELECT v, v FROM mk WHERE leaf")
+_add("market_redundancy", lambda s, d: _r(graph.redundancy(market(s, d), _market_ids(s, d))), f"SELECT round({_RHO}, 6) AS rho2 FROM {_COUNTS}")
+_add("market_failure_probability", lambda s, d: _r(graph.failure_probability(market(s, d))), f"SELECT round(c / (c + k), 6) AS p FROM {_COUNTS}")
+_add("market_weighted_redundancy", lambda s, d: _r(graph.weighted_redundancy(market(s, d), _market_ids(s, d), 1.0)), f"SELECT round((1 + {_RHO}) * (1 - c / (c + k)), 6) AS wmr FROM {_COUNTS}")
+_add("market_topology", lambda s, d: graph.topology(market(s, d), _market_ids(s, d)), f"SELECT c + k AS nodes, c + k AS edges, 1::BIGINT AS components, 1.0::DOUBLE AS penalty FROM {_COUNTS}")
+_add("separated_pairs", lambda s, d: _r(terminals.separated_pairs(nodes(s, d).where("x is not null").select(F.col("node").alias("id"), "x", "y"), 10**6)), "SELECT a.node AS u, b.node AS v, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) AS distance FROM sn a JOIN sn b ON a.node < b.node WHERE a.x IS NOT NULL AND b.x IS NOT NULL")
+_add("utility_trace", lambda s, d: selection.select_utility(*_graph_candidates(s, d), trace=True))
 _add("failure_probability", lambda s, d: _r(graph.failure_probability(edges(s, d))))
 _add("weighted_redundancy", lambda s, d: _r(graph.weighted_redundancy(edges(s, d), _ids(s, d), 1.0)))
 _add("mst_backbone", lambda s, d: _r(selection.select_backbone(*_graph_candidates(s, d)[::2])))
@@ -327,7 +351,7 @@ def _largest(s: SparkSession, d: str) -> DataFrame:
 
 def _fill(s: SparkSession, d: str) -> DataFrame:
     c, _, b = _graph_candidates(s, d)
-    return selection.fill_budget(c, selection.select_backbone(c, b), b)
+    return selection.fill_budget(c, selection.select_backbone(c, b), b.withColumn("budget", 1.5 * F.col("budget")))
 
 
 def _block(s: SparkSession) -> DataFrame:
