@@ -7,7 +7,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from mosaiq.llm import common, decontaminate, language_id, line_dedup, lm_scoring, mixing, near_dedup, pii, quality_rules, suffix_dedup, token_counts
 from mosaiq.llm.components import components
@@ -86,6 +88,23 @@ def test_token_counts(spark, docs, none):
     assert token_counts.token_counts(none, path).count() == 0
 
 
+def test_pieces_are_counted_once(spark, monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(i, f"{prose(i, 50)} {'é' * (i % 7)}日本") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    tok = Tokenizer.from_file(path)
+    want = Counter(t[a:b] for _, t in rows for _, (a, b) in tok.pre_tokenizer.pre_tokenize_str(t))
+    table = token_counts.piece_table(df, path).collect()
+    assert {r.token: r.n for r in table} == want and len(table) == len(want)
+    for common in (3, 10**6):  # most are joined, or all are sent
+        monkeypatch.setattr(token_counts, "COMMON", common)
+        got = token_counts.token_counts(df.withColumn("row", F.lit("x")).withColumn("token", F.lit(1)), path, keep=("doc_id", "row", "token"))
+        assert {r.doc_id: r.n_tokens for r in got.collect()} == {i: len(tok.encode(t, add_special_tokens=False).ids) for i, t in rows}
+
+
 def test_lm_scoring(docs, none):
     import public_tokenizers
 
@@ -288,6 +307,51 @@ def test_leaks(spark, docs, none):
     assert decontaminate.find_leaks(docs, items.where("false")).count() == 0
 
 
+def edited(rng, words_, edits):
+    w = list(words_)
+    for _ in range(edits):
+        k, kind = rng.integers(0, len(w)), rng.integers(3)
+        w[k : k + int(kind != 0)] = [f"changed{rng.integers(1000)}"] * int(kind != 2)
+    return w
+
+
+def test_leak_recall_at_the_limit():
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 4, 5, 7, 8, 9, 16, 33, 60, 120, 200):
+        items = [[f"{WORDS[i]}{rng.integers(0, 300)}" for i in rng.integers(0, len(WORDS), n)] for _ in range(150)]
+        index = decontaminate.Index(list(range(150)), [" ".join(x) for x in items])
+        texts = [" ".join([prose(int(rng.integers(10**6)), 30), *edited(rng, x, n // 5), prose(int(rng.integers(10**6)), 30)]) for x in items]
+        got = {(r, x): e for r, x, e, *_ in decontaminate.search(index, pa.array(texts))}
+        found = 0
+        for i, t in enumerate(texts):
+            h = decontaminate.tk.Words(decontaminate.tk.binary(pa.array([t]))).hashes()
+            item = index.words[index.start[i] : index.start[i] + n]
+            want = decontaminate.edit_within(item, h, n // 5)
+            assert want and got.get((i, i), want[0]) == want[0]
+            found += (i, i) in got
+        assert found >= 0.99 * 150, n
+
+
+def test_leak_index_is_sized_by_each_item(spark, monkeypatch):
+    import pickle
+
+    long = prose(77, 3000)
+    texts = [prose(1000 + i, 8) for i in range(2000)] + [long]
+    index = decontaminate.Index(list(range(2001)), texts)
+    assert len(pickle.dumps(index)) < 40_000_000
+    rng = np.random.default_rng(3)
+    near = " ".join(edited(rng, long.split(), 500))
+    got = {x: e for _, x, e, *_ in decontaminate.search(index, pa.array([prose(5, 50) + " " + near]))}
+    assert 0 < got[2000] <= 500
+    # Several passes find what one does; without keys nothing is found.
+    docs, items = spark.createDataFrame([(1, near), (2, texts[3]), (None, texts[4]), (None, None)], "doc_id long, text string"), spark.createDataFrame([(2000, long), (3, texts[3]), (4, texts[4])], "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", 5000)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, items).collect()} == {(1, 2000), (2, 3), (None, 4)}
+    monkeypatch.setattr(decontaminate, "window_keys", lambda *a: iter(()))
+    index = decontaminate.Index([0], [long])
+    assert decontaminate.search(index, pa.array([long])) == []
+
+
 def test_lines(spark, docs, none):
     a = [prose(i, 12) for i in range(10)]
     rows = [(1, "\n".join(a)), (2, "\n".join([prose(50, 12), *a[2:6], prose(51, 12)])), (3, "\n".join(a)), (4, prose(60, 20)), (5, None), (6, ""), (3, "\n".join(a))]
