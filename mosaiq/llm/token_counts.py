@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mosaiq.llm.common import batches
+from mosaiq.llm.common import batches, most_frequent
 from mosaiq.scratch import Scratch
 
 #: Characters on which all Unicode versions agree; texts with others are cut by the library itself.
@@ -106,14 +106,14 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str
     """
     cuts = Scratch(docs.sparkSession, "tokens")
     pieces = cuts.cut(piece_table(docs, path, text), "pieces")
-    top = pieces.where(F.length("token") <= SHORT).orderBy(F.desc("n"), "token").limit(COMMON).select("token", "pieces").toPandas()
-    shared = docs.sparkSession.sparkContext.broadcast((top.token.tolist(), top.pieces.tolist()))
+    top = most_frequent(pieces.where(F.length("token") <= SHORT), "n", COMMON).select("token", "pieces").toArrow()
+    shared = docs.sparkSession.sparkContext.broadcast(top)
     cols = docs.select(F.struct(*[docs[c] for c in keep]).alias("keep"), docs[text].alias("text"))
     rare = T.ArrayType(T.StructType().add("token", "string").add("m", "long"))
     schema = T.StructType().add("row", "long").add(cols.schema["keep"]).add("n_bytes", "long").add("n_tokens", "long").add("rare", rare)
 
     def sums(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, known = _cutter(path), dict(zip(*shared.value, strict=True))
+        cut, known = _cutter(path), dict(zip(*(c.to_pylist() for c in shared.value.columns), strict=True))
         row = TaskContext.get().partitionId() << 40
         kind = pa.list_(pa.struct([("token", pa.string()), ("m", pa.int64())]))
         for b in batches(it):

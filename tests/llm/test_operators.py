@@ -128,41 +128,105 @@ def test_lm_scoring(docs, none):
 def test_network_learns_from_all_texts(spark, monkeypatch):
     import public_tokenizers
 
-    path, seen, groups = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), [], []
+    path, seen = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), []
     train = lm_scoring.train
-    monkeypatch.setattr(lm_scoring, "train", lambda sample, *rest: (seen.append(sample.count()), groups.append(sample.select("shard").distinct().count()), train(sample, *rest))[2])
+    monkeypatch.setattr(lm_scoring, "train", lambda examples, *rest: (seen.append((examples.count(), examples.select("shard").distinct().count())), train(examples, *rest))[1])
+    p = lm_scoring.Params(shard_blocks=50, rounds=1, stride=2)
     for n in (30, 1500):
         texts = spark.createDataFrame([(i, prose(i, 4)) for i in range(n)], "doc_id long, text string")
-        lm_scoring.score(texts, common.fold(texts.doc_id, 1) == 0, path).count()
-    assert seen == [30, 1500] and groups == [1, 3]
+        lm_scoring.score(texts, common.fold(texts.doc_id, 1) == 0, path, p=p).count()
+    assert seen[0] == (30, 1) and seen[1][0] == 1500 and seen[1][1] > 5
 
 
-def test_network_gradients_and_windows():
-    p = lm_scoring.Params(width=4, block=4, inputs=6, hashed=2, branch=3, shared=2)
-    net = lm_scoring.Network(p, np.full(9, 1 / 9))
-    net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
+def test_blocks_of_every_text():
+    rng = np.random.default_rng(2)
+    n = rng.integers(1, 40, 30)
+    ids, bounds = rng.integers(0, 9, n.sum()), np.concatenate([[0], np.cumsum(n)])
+    seg, back, real, place = lm_scoring.segments(ids, bounds, 4, 9)
+    assert sorted(place[real]) == list(range(len(ids))) and (seg[:, 6:][real] == ids[place[real]]).all()
+    for s, b, r, at in zip(seg, back, real, place, strict=True):
+        i = np.searchsorted(bounds, at[0], "right") - 1
+        want = [int(ids[k]) if bounds[i] <= k < bounds[i + 1] else 9 for k in range(at[0] - 6, at[0] + 4)]
+        assert list(s) == want and b == (at[0] > bounds[i])
+    some = lm_scoring.segments(ids, bounds, 4, 9, 3, rng.integers(0, 100, 30))
+    assert set(np.searchsorted(bounds, some[3][:, 0], "right") - 1) == set(range(30))
+
+
+def brute_lm(p, net, grams, ids, end):
+    """log10 probability of each id after those before it, by plain loops, and of all others in its place."""
+    w, out = net.w, []
+    c1, c2, c3 = Counter(), Counter(), Counter()
+    for r in grams:
+        for i, y in enumerate(r):
+            a, b = (r[i - 2] if i > 1 else end), (r[i - 1] if i else end)
+            c1[y] += 1
+            c2[b, y] += 1
+            c3[a, b, y] += 1
+
+    def order(p_low, table, ctx):
+        total = sum(n for k, n in table.items() if k[:-1] == ctx)
+        held = {k[-1]: n - p.discount for k, n in table.items() if k[:-1] == ctx and n > 1}
+        return p_low if not total else [held.get(y, 0) / total + (1 - sum(held.values()) / total) * q for y, q in enumerate(p_low)]
+
+    for i in range(len(ids)):
+        a, b = (ids[i - 2] if i > 1 else end), (ids[i - 1] if i else end)
+        singles = [(c1[y] + 0.5) / (sum(c1.values()) + 0.5 * (end + 1)) for y in range(end + 1)]
+        pairs = order(singles, c2, (b,))
+        triples = order(pairs, c3, (a, b))
+        e = lambda x: w["e"][net.rows[x]]
+        gate = np.exp(e(b) @ w["wg"] + w["bg"])
+        gate /= gate.sum()
+        first = max(0, (i // p.block - 1) * p.block)
+        weight = {j: math.exp(e(b) @ w["wq"] @ (e(ids[j - 1] if j else end) @ w["wk"]) + w["rel"][i - j] + w["same"][0] * ((ids[j - 1] if j else end) == b)) for j in range(first, i)}
+        none = math.exp(e(b) @ w["w0"] + w["b0"][0])
+        z = sum(weight.values()) + none
+        dist = [(sum(v for j, v in weight.items() if ids[j] == y) + none * float(gate @ [singles[y], pairs[y], triples[y]])) / z for y in range(end + 1)]
+        assert sum(dist) == pytest.approx(1)
+        out.append(math.log10(dist[ids[i]]))
+    return out
+
+
+def test_windows_score_as_plain_loops(spark):
+    p, end = lm_scoring.Params(width=4, block=4, inputs=5, hashed=3, grams=10**6), 9
+    rng = np.random.default_rng(4)
+    rows = [rng.integers(0, end, rng.integers(0, 30)).tolist() + [end] for _ in range(25)]
+    texts = spark.createDataFrame([(i, bytearray(np.array(r, np.uint16).tobytes())) for i, r in enumerate(rows)], "row long, ids binary").repartition(3)
+    counts = lm_scoring.grams_of(texts, len(rows), end, p, Scratch(spark, "t"))
+    net = lm_scoring.Network(p, lm_scoring.embedding_rows(counts.single, p))
+    net.w = {k: v.astype(np.float64) + 0.3 * rng.standard_normal(v.shape) for k, v in net.w.items()}
+    ids = np.concatenate([np.array(r) for r in rows])
+    bounds = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    got = net.log_scores(ids, bounds, counts, end)
+    for i, r in enumerate(rows):
+        assert got[bounds[i] : bounds[i + 1]] == pytest.approx(brute_lm(p, net, rows, r, end), abs=1e-5)
+    # Sums don't overflow, however large the exponents get.
+    net.w["same"] = np.full(1, 500.0)
+    assert np.isfinite(net.log_scores(ids, bounds, counts, end)).all()
+
+
+def test_network_gradients():
+    p = lm_scoring.Params(width=4, block=4, inputs=6, hashed=2)
+    net = lm_scoring.Network(p, np.arange(10) % 8)
     rng = np.random.default_rng(0)
-    x, c = rng.integers(0, 9, (3, 4)), rng.integers(0, 9, (3, 4))
-    back, real = np.array([False, True, True]), np.ones((3, 4), bool)
+    net.w = {k: v.astype(np.float64) + 0.2 * rng.standard_normal(v.shape) for k, v in net.w.items()}
+    seg, back, real = rng.integers(0, 9, (3, 10)), np.array([False, True, True]), np.ones((3, 4), bool)
     real[2, 2:] = False
-    prev = x[[0, 0, 1]]
-    loss = lambda: -net.log_classes(x, back, c)[real].mean()
-    g = net.step(x, prev, back, c, real)
+    grams = rng.random((3, 4, 3))
+    loss = lambda: -np.log(net.forward(seg, back, real, grams)["p"])[real].mean()
+    g = net.step(seg, back, real, grams)
     for k in net.NAMES:
-        for i in list(np.ndindex(net.w[k].shape))[:: max(1, net.w[k].size // 6)]:
+        for i in list(np.ndindex(net.w[k].shape))[:: max(1, net.w[k].size // 9)]:
             old = net.w[k][i]
-            net.w[k][i] = old + 1e-3
+            net.w[k][i] = old + 1e-5
             up = loss()
-            net.w[k][i] = old - 1e-3
+            net.w[k][i] = old - 1e-5
             down = loss()
             net.w[k][i] = old
-            assert g[k][i] == pytest.approx((up - down) / 2e-3, abs=2e-3), (k, i)
-    # A later id changes no earlier score; all classes' probabilities sum to 1.
-    a = net.log_classes(x, back, c)
-    y = x.copy()
-    y[2, 3] = (y[2, 3] + 1) % 9
-    assert np.allclose(a.ravel()[:11], net.log_classes(y, back, c).ravel()[:11])
-    assert np.allclose(sum(np.exp(net.log_classes(x, back, np.full_like(c, k))) for k in range(9)), 1, atol=1e-4)
+            assert g[k][i] == pytest.approx((up - down) / 2e-5, abs=1e-5), (k, i)
+    before = net.forward(seg, back, real, grams)["p"]
+    later = seg.copy()
+    later[:, -1] = (later[:, -1] + 1) % 9
+    assert np.allclose(before[:, :3], net.forward(later, back, real, grams)["p"][:, :3])
 
 
 def test_mixing(spark, docs, none):
