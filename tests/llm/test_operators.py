@@ -296,6 +296,63 @@ def test_pii_contexts_find_numbers_with_spaces(spark):
     assert got[50] == [(12, 3, 28)] and got[51] == [(12, 3, 112)] and len(got[52]) == 2
 
 
+def test_pii_secrets(spark):
+    seen = [(i, f"w{i} token = \"{hashlib.sha256(str(i).encode()).hexdigest()[:40]}\" and more") for i in range(12)]
+    more = {50: 'my token = "Zx81-pass" and', 51: "my token is 5 and", 52: "a" * 40, 53: "7" * 60}
+    got = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame([*seen, *more.items()], "doc_id long, text string")).collect()}
+    assert all([tuple(s) for s in got[i].secrets] == [(len(f"w{i}") + 10, 4, len(f"w{i}") + 50)] for i in range(12))
+    assert [tuple(s) for s in got[50].secrets] == [(12, 4, 21)] and not any(got[i].secrets for i in (51, 52, 53))
+    assert not any(r.spans for r in got.values())
+
+
+def test_pii_scores(spark):
+    """Scores over the rounds, by brute force over the same pattern-instance graph."""
+    rng = np.random.default_rng(6)
+    lead, tail = ["ring", "mail", "pay", "see"], ["now", "soon", "then"]
+    kinds = [lambda: f"u{rng.integers(90)}@x.org", lambda: f"{rng.integers(1, 250)}.1.2.3", lambda: f"ref{rng.integers(30)}", lambda: f"+1 (017) 555-{rng.integers(1000, 9999)}"]
+    rows = []
+    for i in range(160):
+        k = int(rng.integers(4))
+        rows.append((i, f"w {lead[k if rng.random() < 0.85 else int(rng.integers(4))]} {kinds[k if rng.random() < 0.8 else 2]()} {tail[int(rng.integers(3))]} z"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    facts = pii._facts(df, "text", "doc_id")
+    got = {(r.key.id, r.start, r.end, r.kind) for r in pii._bootstrap(facts, Scratch(spark, "t")).collect()}
+    insts = [(r.key.id, r.start, r.end, r.token, r.seed, [p for k, a in (("l", [r.left]), ("r", [r.right]), ("b", [r.left, r.right]), ("ll", [r.left2, r.left]), ("rr", [r.right, r.right2])) if a[-1 if k == "rr" else 0] for p in [k + ":" + " ".join(a)] if re.search(r"[a-z]", " ".join(a))]) for r in pii._instances(facts).collect()]
+    support, beside, seed = {}, {}, {}
+    for key, _, _, token, sd, pats in insts:
+        for pat in pats:
+            seed[pat, token] = max(sd, seed.get((pat, token), -1))
+            beside.setdefault(pat, set()).add(token)
+            if sd >= 0:
+                support.setdefault((pat, sd), set()).add(key)
+    able = {k for k, v in support.items() if len(v) >= 5}
+    best, sure = {}, {}
+    for _ in range(pii.ROUNDS):
+        sure = {}
+        for pat, kind in able:
+            value = [1.0 if seed[pat, t] == kind else best.get((t, kind), 0.0) if seed[pat, t] < 0 else 0.0 for t in beside[pat]]
+            if sum(value) / len(value) > 0.5:
+                sure[pat, kind] = sum(value) / len(value)
+        best = {}
+        for (pat, kind), v in sure.items():
+            for t in beside[pat]:
+                if seed[pat, t] < 0:
+                    best[t, kind] = max(v, best.get((t, kind), 0.0))
+    want = set()
+    for key, a, b, _, sd, pats in insts:
+        found = [(v, -kind) for (pat, kind), v in sure.items() if v >= pii.MIN_SCORE and pat in pats]
+        if sd < 0 and found:
+            want.add((key, a, b, -max(found)[1]))
+    assert got == want and want
+    q = pii.find_pii(df).select("doc_id", F.sha2(pii.spans_text(F.col("base")), 256).alias("h"), pii.spans_text(F.col("spans")).alias("s")).collect()
+    for r in q:
+        t = dict(rows)[r.doc_id]
+        base = [(m.start(), n, m.end()) for n, k in (("email", r"[a-z0-9]+@x\.org"), ("ip", r"[0-9]+\.1\.2\.3"), ("phone", r"\+1 \(017\) 555-[0-9]+")) for m in re.finditer(k, t)]
+        text = lambda found: ",".join(f"{n}:{a}:{b}" for a, n, b in sorted(found))
+        added = [(a, pii.KINDS[k], b) for i, a, b, k in want if i == r.doc_id]
+        assert r.h == hashlib.sha256(text(base).encode()).hexdigest() and r.s == text(base + added)
+
+
 def test_quality(spark, docs, none):
     shared = "This very line stands in all of them and is long enough to count"
     rows = [(i, "\n".join([shared] * 3 + [prose(i, 30 if i % 2 else 90)]), "h") for i in range(12)] + [(50, None, "h"), (51, "a b c a b c a b c d", None)]
