@@ -191,7 +191,7 @@ def test_windows_score_as_plain_loops(spark):
     rng = np.random.default_rng(4)
     rows = [rng.integers(0, end, rng.integers(0, 30)).tolist() + [end] for _ in range(25)]
     texts = spark.createDataFrame([(i, bytearray(np.array(r, np.uint16).tobytes())) for i, r in enumerate(rows)], "row long, ids binary").repartition(3)
-    counts = lm_scoring.grams_of(texts, len(rows), end, p, Scratch(spark, "t"))
+    counts = lm_scoring.grams_of(texts, len(rows), end, 3, p, Scratch(spark, "t"))
     net = lm_scoring.Network(p, lm_scoring.embedding_rows(counts.single, p))
     net.w = {k: v.astype(np.float64) + 0.3 * rng.standard_normal(v.shape) for k, v in net.w.items()}
     ids = np.concatenate([np.array(r) for r in rows])
