@@ -91,7 +91,8 @@ def identify(docs: DataFrame, profiles: DataFrame, text: str = "text", keep: tup
     Only the text is read. lang_pred is `und` with score 0 where the text is null or has no letter,
     or there is no profile. Ties go to the language that sorts first. score: how much nearer the
     best language is than the next (or than the greatest distance), from 0 to 1. The profiles are
-    collected: `length` n-grams for each language. Kept columns of the names of results are replaced.
+    collected: `length` n-grams for each language. Kept columns of the names of results are replaced;
+    other columns are not read, whatever their names. Rows that repeat are rows of their own.
     """
     keep = tuple(c for c in keep if c not in ("lang_pred", "score"))
     got = profiles.collect()
@@ -100,8 +101,8 @@ def identify(docs: DataFrame, profiles: DataFrame, text: str = "text", keep: tup
     ranks = np.full((len(names), len(grams) + 1), -1, np.int32)
     for r in got:
         ranks[names.index(r.lang), np.searchsorted(grams, r.gram)] = r.rank - 1
-    cols = docs.select(*[docs[c] for c in keep], docs[text].alias("_text"))
-    schema = cols.drop("_text").schema.add("lang_pred", "string").add("score", "double")
+    cols = docs.select(F.struct(*[docs[c] for c in keep]).alias("keep"), docs[text].alias("text"))
+    schema = cols.drop("text").schema.add("lang_pred", "string").add("score", "double")
 
     def one(t: str | None) -> tuple[str, float]:
         mine = _ranked(*_grams(_points(t)), length) if t and names else ()
@@ -116,8 +117,8 @@ def identify(docs: DataFrame, profiles: DataFrame, text: str = "text", keep: tup
         return names[best], float(other - far[best]) / float(other) if other else 0.0
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            found = [one(t.as_py()) for t in b.column(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*b.schema.names[:-1], "lang_pred", "score"])
+        for b in batches(it):
+            found = [one(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["keep", "lang_pred", "score"])
 
-    return cols.mapInArrow(run, schema)
+    return cols.mapInArrow(run, schema).select("keep.*", "lang_pred", "score")

@@ -153,15 +153,17 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", drop_empty: bool = True) -> DataFrame:
-    """docs with the repeated lines taken out of the texts; columns as they were.
+    """docs with the repeated lines taken out of the texts; columns as they were, whatever their names.
 
-    Documents that lose all their lines go if `drop_empty`; others that had no words stay.
+    Documents that lose all their lines go if `drop_empty`; others that had no words stay, null
+    texts too. Rows that repeat an id and a text lose the same lines, and each stays or goes alike.
     """
-    found = repeated_lines(docs, text, doc_id).where(F.size("removed") > 0).select(F.col("key.id").alias("_id"), F.col("key.th").alias("_th"), F.col("removed").alias("_gone"), F.col("n_lines").alias("_n")).dropDuplicates(["_id", "_th"])
-    mine = docs.withColumn("_k1", F.coalesce(docs[doc_id].cast("long"), F.lit(-(1 << 63)))).withColumn("_k2", F.xxhash64(docs[text]))
-    both = mine.join(found, (F.col("_k1") == F.col("_id")) & (F.col("_k2") == F.col("_th")), "left")
-    left = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    both = both.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(left))
+    found = repeated_lines(docs, text, doc_id).where(F.size("removed") > 0).select("key.id", "key.th", F.col("removed").alias("gone"), "n_lines").dropDuplicates(["id", "th"])
+    # The row as a struct keeps its columns' names apart from ours.
+    mine = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs[doc_id].cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(docs[text]).alias("th"))
+    both = mine.join(found, ["id", "th"], "left")
     if drop_empty:
-        both = both.where(F.col("_gone").isNull() | (F.size("_gone") < F.col("_n")))
-    return both.select(*docs.columns)
+        both = both.where(F.col("gone").isNull() | (F.size("gone") < F.col("n_lines")))
+    old = F.col("row").getField(text)
+    left = F.array_join(F.filter(F.split(old, "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    return both.select(*[(F.when(F.col("gone").isNull(), old).otherwise(left) if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns])

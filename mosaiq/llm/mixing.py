@@ -98,24 +98,24 @@ def solve_rates(classes: DataFrame, goals: DataFrame, cuts: Scratch, ceiling: in
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple[int, ...] = (1, 2, 3), ceiling: int = CEILING) -> DataFrame:
-    """docs with size, source_size, target, copies and taken (copies * size) for every row.
+    """doc_id, text_hash, source, size, source_size, target, copies and taken (copies * size) for every row of docs.
 
     size counts the words of a text; null and empty texts have size 0, keep one copy and take
     nothing. A null source is a source of its own, last in order. Rows that repeat an id are rows
-    of their own. Sources without words have target 0. Result columns replace columns of those
-    names. Rounding: a class (source, size) gets whole copies; what rounding leaves of a source's
+    of their own, told apart by the hash of the text where the texts differ. Sources without words
+    have target 0. Other columns are not read, whatever their names. Rounding: a class (source, size) gets whole copies; what rounding leaves of a source's
     target is dealt out again from the smallest sizes up. Within a class, hashes of the id decide.
     """
     cuts = Scratch(docs.sparkSession, "mix")
-    rows = docs.withColumn("size", F.coalesce(F.regexp_count(docs[text], F.lit(WORD)), F.lit(0)).cast("long")).withColumn("_src", docs[source])
-    narrow = cuts.cut(rows.select(F.col("_src").alias("source"), "size", F.xxhash64(docs[doc_id], F.lit("mix")).alias("h"), docs[doc_id].alias("doc_id")), "sizes")
+    size = F.coalesce(F.regexp_count(docs[text], F.lit(WORD)), F.lit(0)).cast("long")
+    narrow = cuts.cut(docs.select(docs[source].alias("source"), size.alias("size"), F.xxhash64(docs[doc_id], F.lit("mix")).alias("h"), docs[doc_id].alias("doc_id"), F.xxhash64(docs[text]).alias("text_hash")), "sizes")
     classes = cuts.cut(narrow.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "classes")
     goals = cuts.cut(targets(classes.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), cuts, weights, ceiling), "goals")
     solved = solve_rates(classes, goals, cuts, ceiling)
     counts = cuts.cut(_class_copies(classes, solved, ceiling), "counts")
     chosen = _deal(narrow, counts, cuts)
     out = chosen.join(goals.select(F.col("source").alias("_g"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_g"))).drop("_g")
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("doc_id", "text_hash", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def _class_copies(classes: DataFrame, solved: DataFrame, ceiling: int) -> DataFrame:
@@ -143,8 +143,8 @@ def _deal(narrow: DataFrame, counts: DataFrame, cuts: Scratch) -> DataFrame:
     salts = salted.groupBy("source", "size", "salt").agg(F.count(F.lit(1)).alias("m"))
     before = F.coalesce(F.sum("m").over(W.partitionBy("source", "size").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     salts = salts.select(F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("salt").alias("_a"), before.alias("before"))
-    rank = F.row_number().over(W.partitionBy("source", "size", "salt").orderBy("h", "doc_id"))
+    rank = F.row_number().over(W.partitionBy("source", "size", "salt").orderBy("h", "doc_id", "text_hash"))
     ranked = salted.withColumn("rank", rank).join(salts, same & (F.col("salt") == F.col("_a")))
     extra = (F.col("before") + F.col("rank") <= F.col("k") % F.col("n")).cast("long")
-    return ranked.select("doc_id", "source", "size", (F.floor(F.col("k") / F.col("n")).cast("long") + extra).alias("copies"))
+    return ranked.select("doc_id", "text_hash", "source", "size", (F.floor(F.col("k") / F.col("n")).cast("long") + extra).alias("copies"))
 
