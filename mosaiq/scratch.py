@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where it is unset (as in tests), a folder of our own."""
+    """The session's spark.checkpoint.dir; where it is unset in local mode (as in tests), a folder of our own.
+
+    On a cluster an unset folder is an error: executors would write to their own disks.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         found = tempfile.mkdtemp(prefix="mosaiq-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
