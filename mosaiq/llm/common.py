@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,3 +50,15 @@ def most_frequent(df: DataFrame, n: str, most: int) -> DataFrame:
             break
         least, room = k, room - m
     return df.where(F.lit(False)) if least is None else df.where(kind >= least)
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Within it, Spark sends Python so many rows at a time at most: for tables of long rows that are written inside it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
