@@ -11,11 +11,14 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
+from xxhash import xxh64_digest, xxh64_intdigest
 
-from mosaiq.llm.common import WORD, batches
+from mosaiq.llm.common import batches
 from mosaiq.scratch import Scratch
 
 #: A block of aligned lines must have so many words to go.
@@ -81,26 +84,43 @@ def common_blocks(later: list[int], words: list[int], earlier: list[int], least:
     return out
 
 
-def _lines(text: Column) -> Column:
-    """Hash (of the line with its words single-spaced) and words of each line; a line without words has hash null."""
+def _signed(rows: list[list[int | None]]) -> pa.Array:
+    """Lists of 64-bit hashes, or null, as lists of bigint."""
+    ends = np.cumsum([0, *map(len, rows)])
+    flat = [x for row in rows for x in row]
+    values = np.array([x or 0 for x in flat], dtype=np.uint64).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, mask=np.array([x is None for x in flat], dtype=bool)))
 
-    def one(x: Column) -> Column:
-        n = F.regexp_count(x, F.lit(WORD))
-        return F.struct(F.when(n > 0, F.xxhash64(F.trim(F.regexp_replace(x, r"[\x20\x09-\x0D]+", " ")))).alias("h"), n.alias("w"))
 
-    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), one)
-
-
-def _runs(lines: Column) -> Column:
+def _keys(digests: list[bytes], words: list[int]) -> Iterator[int]:
     """Hashes of the shortest run of two lines or more from each line on that has BLOCK_WORDS words; every longer block holds one, or such a line."""
-    start = F.struct(F.lit(0).alias("w"), F.lit(0).cast("bigint").alias("h"), F.lit(0).alias("n"))
-
-    def add(a: Column, x: Column) -> Column:
-        return F.when(a["w"] >= BLOCK_WORDS, a).otherwise(F.struct((a["w"] + x["w"]).alias("w"), F.xxhash64(a["h"], x["h"]).alias("h"), (a["n"] + 1).alias("n")))
-
-    # A line has a word at least.
-    runs = F.transform(lines, lambda x, i: F.aggregate(F.slice(lines, i + 1, BLOCK_WORDS), start, add))
-    return F.transform(F.filter(runs, lambda r: (r["w"] >= BLOCK_WORDS) & (r["n"] > 1)), lambda r: r["h"])
+    end = total = 0
+    for i, w in enumerate(words):
+        while total < BLOCK_WORDS and end < len(words):
+            total += words[end]
+            end += 1
+        if total < BLOCK_WORDS:
+            return
+        if end - i > 1:
+            yield xxh64_intdigest(b"".join(digests[i:end]))
+        total -= w
+
+
+def _read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For the text in the last column: hash (of its words, single-spaced) and words of each line, and the distinct hashes of its lines and runs; a line without words has hash null. Null texts are empty."""
+    for b in batches(it):
+        hashes, counts, entries = [], [], []
+        for text in b.column(b.num_columns - 1).cast(pa.binary()).to_pylist():
+            # Bytes split at the blanks of WORD.
+            lines = [x.split() for x in (text or b"").split(b"\n")]
+            digests = [xxh64_digest(b" ".join(x)) if x else None for x in lines]
+            solid = [x for x in digests if x is not None]
+            row = [None if x is None else int.from_bytes(x) for x in digests]
+            hashes.append(row)
+            counts.append([len(x) for x in lines])
+            entries.append(list(dict.fromkeys([*(x for x in row if x is not None), *_keys(solid, [len(x) for x in lines if x])])))
+        made = [_signed(hashes), pa.array(counts, pa.list_(pa.int32())), _signed(entries)]
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], names=[*b.schema.names[:-1], "hs", "ws", "keys"])
 
 
 def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -113,15 +133,15 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     text are one document and lose the same lines.
     """
     cuts = Scratch(docs.sparkSession, "lines")
-    named = docs.select(docs[doc_id].alias("doc_id"), F.coalesce(docs[doc_id].cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(docs[text]).alias("th"), _lines(docs[text]).alias("l"))
-    lists = cuts.cut(named.select("doc_id", F.struct("id", "th").alias("key"), F.transform("l", lambda x: x["h"]).alias("hs"), F.transform("l", lambda x: x["w"]).alias("ws")), "lists")
+    named = docs.select(docs[doc_id].alias("doc_id"), F.struct(F.coalesce(docs[doc_id].cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(docs[text]).alias("th")).alias("key"), docs[text].alias("text"))
+    schema = StructType(named.schema.fields[:2]).add("hs", ArrayType(LongType())).add("ws", ArrayType(IntegerType())).add("keys", ArrayType(LongType()))
+    lists = cuts.cut(named.mapInArrow(_read, schema), "lists")
     solid = F.filter("hs", lambda h: h.isNotNull())
-    marked = lists.select("key", "hs", "ws", F.struct(F.xxhash64(solid).alias("a"), F.hash(solid).alias("b"), F.size(solid).alias("n")).alias("same")).where("same.n > 0")
+    marked = lists.select("key", "hs", "ws", "keys", F.struct(F.xxhash64(solid).alias("a"), F.hash(solid).alias("b"), F.size(solid).alias("n")).alias("same")).where("same.n > 0")
     firsts = marked.groupBy("same").agg(F.min("key").alias("first"))
     # One document of each class looks for partners.
-    classes = cuts.cut(marked.dropDuplicates(["key"]).join(firsts.withColumnRenamed("same", "s"), (F.col("same") == F.col("s")) & (F.col("key") == F.col("first"))).select("key", "hs", "ws"), "classes")
-    lines = F.filter(F.zip_with("hs", "ws", lambda h, w: F.struct(h.alias("h"), w.alias("w"))), lambda x: x["h"].isNotNull())
-    entries = classes.select("key", "hs", lines.alias("l")).select("key", F.explode(F.array_distinct(F.concat(solid, _runs(F.col("l"))))).alias("h"))
+    classes = cuts.cut(marked.dropDuplicates(["key"]).join(firsts.withColumnRenamed("same", "s"), (F.col("same") == F.col("s")) & (F.col("key") == F.col("first"))).select("key", "hs", "ws", "keys"), "classes")
+    entries = classes.select("key", F.explode("keys").alias("h"))
     sums = entries.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first")).where("n > 1")
     salted = sums.select("h", "first", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > 1000, SALTS - 1).otherwise(0))).alias("salt"), (F.col("n") > 1000).alias("hot"))
     shared = entries.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
@@ -129,7 +149,7 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     hot = shared.join(salted.where("hot").select("h", "first", "salt"), ["h", "salt"]).select("key", "first")
     pairs = cold.union(hot).where("key <> first").distinct()
     # A document that many others are held against is dealt to several tasks by the skewed join.
-    sides = pairs.join(classes.select(F.col("key").alias("first"), F.col("hs").alias("eh")), "first").join(classes, "key").select("key", "hs", "ws", "eh")
+    sides = pairs.join(classes.select(F.col("key").alias("first"), F.col("hs").alias("eh")), "first").join(classes.drop("keys"), "key").select("key", "hs", "ws", "eh")
 
     def align(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
