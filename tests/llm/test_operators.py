@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -526,3 +527,33 @@ def test_suffixes(spark, docs, none, monkeypatch):
         assert got.count() == len(rows)
         assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()} == want
     assert suffix_dedup.dedup_bytes(none).count() == 0
+
+
+def test_lines_against_every_holder(spark):
+    """Random texts against a plain search for the earliest holder of each line and run, by text and not by hashes."""
+    rng = random.Random(9)
+    pool = [" ".join(rng.choice("ab cd e\u00a0f g\x1ch ij".split(" ")) + str(rng.randrange(9)) for _ in range(rng.randrange(1, 11))) for _ in range(14)] + ["", " \t"]
+    texts = ["\n".join(rng.choice(["", " ", "\t "]) + rng.choice(pool).replace(" ", rng.choice([" ", "  ", "\t"])) for _ in range(rng.randrange(1, 9))) for _ in range(150)]
+    texts[7], texts[20] = None, ""
+    split = [[re.findall(r"[^\x20\x09-\x0D]+", x) for x in (t or "").split("\n")] for t in texts]
+    solid = [[(tuple(x), i) for i, x in enumerate(ls) if x] for ls in split]
+
+    def keys(ls):
+        for i in range(len(ls)):
+            yield (ls[i],)
+            ends = [j for j in range(i + 1, len(ls) + 1) if sum(map(len, ls[i:j])) >= line_dedup.BLOCK_WORDS]
+            if ends and ends[0] - i > 1:
+                yield tuple(ls[i : ends[0]])
+
+    number = {x: n for n, x in enumerate(sorted({x for entries in solid for x, _ in entries}))}
+    seen, first, expected = {}, {}, []
+    for d, entries in enumerate(solid):
+        ls = [x for x, _ in entries]
+        if ls and seen.setdefault(tuple(ls), d) != d:
+            expected.append(list(range(len(split[d]))) if sum(map(len, ls)) >= line_dedup.BLOCK_WORDS else [])
+            continue
+        holders = {first.setdefault(k, d) for k in keys(ls)} - {d}
+        gone = {i for h in holders for i in line_dedup.common_blocks([number[x] for x in ls], [len(x) for x in ls], [number[x] for x, _ in solid[h]])}
+        expected.append(sorted(entries[i][1] for i in gone))
+    got = {r.doc_id: list(r.removed) for r in line_dedup.repeated_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(expected)) and sum(map(bool, expected)) > 20
