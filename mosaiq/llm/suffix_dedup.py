@@ -40,8 +40,10 @@ def anchors(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, gram: int
     """(position, left bytes, right bytes, hash, hash of the surroundings) of the anchors of each piece of the rows' bytes.
 
     left: bytes of the row before the position, at most width - gram; right: bytes from it on, at most width.
+    An anchor that windows of two pieces pick is given once.
     """
     reach = width - gram
+    given = -1  # the last position of the pieces before
     for s in range(0, max(0, len(data) - width + 1), PIECE):
         base = max(0, s - reach)
         piece = data[base : min(len(data), s + PIECE + 2 * width)]
@@ -66,12 +68,16 @@ def anchors(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, gram: int
         if not len(picked):
             continue
         at = np.unique(picked[np.concatenate([[True], picked[1:] != picked[:-1]])] & _LOW).astype(np.int64)
+        # The places that windows pick never go back, so those up to the last one given are known.
+        at = at[at + base > given]
+        if not len(at):
+            continue
+        given = int(at[-1]) + base
         row = np.searchsorted(offsets, at + base, "right") - 1
         left = np.minimum(reach, at + base - offsets[row])
         right = np.minimum(width, offsets[row + 1] - at - base)
         with np.errstate(over="ignore"):
             around = tk.mix((sums[at + right] - sums[at - left]) * inverse[at - left] + (left * 256 + right).astype(_U))
-        # A long row's anchor can be picked in two pieces, with the same results.
         yield at + base, left, right, h[at], around
 
 

@@ -529,6 +529,18 @@ def test_suffixes(spark, docs, none, monkeypatch):
     assert suffix_dedup.dedup_bytes(none).count() == 0
 
 
+def test_anchors_of_pieces_come_once(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    data = np.frombuffer(rng.bytes(2_200_000).hex()[:2_200_000].encode(), np.uint8)
+    some = data[:9000], np.array([0, 4000, 4050, 9000])
+    want = [x.tolist() for x in next(suffix_dedup.anchors(*some))]
+    monkeypatch.setattr(suffix_dedup, "PIECE", 700)
+    got = [np.concatenate(x).tolist() for x in zip(*suffix_dedup.anchors(*some), strict=True)]
+    assert got == want
+    one = spark.createDataFrame([(1, data.tobytes().decode())], "doc_id long, text string")  # more than one piece
+    assert suffix_dedup.dedup_bytes(one, texts=False).first().n_removed == 0
+
+
 def test_lines_against_every_holder(spark):
     """Random texts against a plain search for the earliest holder of each line and run, by text and not by hashes."""
     rng = random.Random(9)
