@@ -122,3 +122,29 @@ def test_polygon_round_trips(spark, tmp_path):
 def test_resistance_free_pairs(spark):
     d = spark.createDataFrame([(0, 1, 2.0, 2.0), (1, 2, 2.0, 2.0)], "i int, j int, euclid double, d double")
     assert graph.flow_resistance_index(d).first().fri == pytest.approx(0.5)
+
+
+def test_thinned_edges_keep_cuts_of_one_and_two(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for n, m in ((60, 75), (40, 400), (30, 30)):
+        u, v = rng.integers(0, n, m), rng.integers(0, n, m)
+        u, v = u[u != v], v[u != v]
+        keep = graph.sparse(u, v)
+        assert keep.sum() <= 2 * (n - 1)
+
+        def two_edge(a, b):
+            near = [[] for _ in range(n)]
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                near[x].append(y)
+                near[y].append(x)
+            pairs = [(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+            return sorted((min(p), max(p)) for p in graph._tarjan(n, [sorted(set(x)) for x in near], {p for p in pairs if pairs.count(p) == 1}))
+
+        assert two_edge(u[keep], v[keep]) == two_edge(u, v)
+    monkeypatch.setattr(graph, "BLOCK", 50)
+    e = spark.createDataFrame(list(zip(u.tolist(), v.tolist(), strict=True)), "u long, v long")
+    big = e.crossJoin(spark.range(20).select(F.col("id").alias("k"))).selectExpr("u + k * 100 as u", "v + k * 100 as v").union(spark.createDataFrame([(100 * k + int(u[0]), 100 * k + 100 + int(u[0])) for k in range(19)], "u long, v long"))
+    assert graph.two_forests(big).count() <= 2 * 600
+    assert {tuple(r) for r in graph.bridges(big).collect()} == {(a + 100 * k, b + 100 * k) for a, b in two_edge(u, v) for k in range(20)} | {(100 * k + int(u[0]), 100 * k + 100 + int(u[0])) for k in range(19)}
