@@ -148,3 +148,14 @@ def test_thinned_edges_keep_cuts_of_one_and_two(spark, monkeypatch):
     big = e.crossJoin(spark.range(20).select(F.col("id").alias("k"))).selectExpr("u + k * 100 as u", "v + k * 100 as v").union(spark.createDataFrame([(100 * k + int(u[0]), 100 * k + 100 + int(u[0])) for k in range(19)], "u long, v long"))
     assert graph.two_forests(big).count() <= 2 * 600
     assert {tuple(r) for r in graph.bridges(big).collect()} == {(a + 100 * k, b + 100 * k) for a, b in two_edge(u, v) for k in range(20)} | {(100 * k + int(u[0]), 100 * k + 100 + int(u[0])) for k in range(19)}
+
+
+def test_selections_take_more_candidates_than_a_task_holds(spark):
+    # 1,000,000 candidates of a scenario, of which some fit; nodes beyond 3,000
+    c = spark.range(1_000_000).selectExpr("'s' scenario_id", "id cand_id", "id seq", "id % 4000 u", "(id % 4000 + 1 + id div 4000) % 4001 v", "cast(1 + id as double) cost").selectExpr("*", "array(u, v) patch_ids", "cost length", "1 / cost base_roi")
+    budget = spark.createDataFrame([("s", 15.5)], "scenario_id string, budget double")
+    got = selection.select_backbone(c, budget).orderBy("pick_order").collect()
+    assert [r.cand_id for r in got] == [0, 1, 2, 3, 4]
+    assert [r.cand_id for r in selection.fill_budget(c, selection.select_backbone(c, budget), budget.withColumn("budget", F.lit(25.0))).collect()] == [5]
+    n = spark.range(4001).selectExpr("id node", "1.0 raw_area", "1.0 area")
+    assert [r.cand_id for r in selection.select_reach(c, n, budget, 40.0).orderBy("pick_order").collect()][:2] == [0, 1]
