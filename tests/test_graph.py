@@ -159,3 +159,12 @@ def test_selections_take_more_candidates_than_a_task_holds(spark):
     assert [r.cand_id for r in selection.fill_budget(c, selection.select_backbone(c, budget), budget.withColumn("budget", F.lit(25.0))).collect()] == [5]
     n = spark.range(4001).selectExpr("id node", "1.0 raw_area", "1.0 area")
     assert [r.cand_id for r in selection.select_reach(c, n, budget, 40.0).orderBy("pick_order").collect()][:2] == [0, 1]
+
+
+def test_resistance_of_a_large_component(spark):
+    # a star of 4,499 leaves, and a square apart
+    e = spark.range(1, 4500).selectExpr("0L u", "id v", "2.0D weight").union(edges(spark, [(9001, 9002, 1.0), (9002, 9003, 1.0), (9003, 9004, 1.0), (9004, 9001, 1.0)]))
+    ask = edges(spark, [(0, 7, 1.0), (3, 4, 1.0), (9001, 9003, 1.0), (1, 9001, 1.0), (9002, 9001, 1.0)])
+    got = {(r.u, r.v): r.r for r in graph.effective_resistance(e, ask).collect()}
+    assert got.pop((1, 9001)) is None
+    assert got == {k: pytest.approx(x) for k, x in {(0, 7): 2.0, (3, 4): 4.0, (9001, 9003): 1.0, (9002, 9001): 0.75}.items()}
