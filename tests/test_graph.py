@@ -168,3 +168,11 @@ def test_resistance_of_a_large_component(spark):
     got = {(r.u, r.v): r.r for r in graph.effective_resistance(e, ask).collect()}
     assert got.pop((1, 9001)) is None
     assert got == {k: pytest.approx(x) for k, x in {(0, 7): 2.0, (3, 4): 4.0, (9001, 9003): 1.0, (9002, 9001): 0.75}.items()}
+
+
+def test_all_separated_pairs(spark):
+    from mosaiq.operators import terminals
+
+    p = spark.range(2100).selectExpr("id", "cast(id as double) x", "0.0D y")
+    got = terminals.separated_pairs(p).agg(F.count(F.lit(1)).alias("n"), F.sum("distance").alias("s")).first()
+    assert got.n == 2100 * 2099 // 2 and got.s == sum(d * (2100 - d) for d in range(2100))
