@@ -176,3 +176,23 @@ def test_all_separated_pairs(spark):
     p = spark.range(2100).selectExpr("id", "cast(id as double) x", "0.0D y")
     got = terminals.separated_pairs(p).agg(F.count(F.lit(1)).alias("n"), F.sum("distance").alias("s")).first()
     assert got.n == 2100 * 2099 // 2 and got.s == sum(d * (2100 - d) for d in range(2100))
+
+
+def test_hops_in_tasks(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    rows = [(int(a), int(b), 1.0) for a, b in rng.integers(0, 90, (100, 2))] + [(200, 201, 1.0)]
+    sources = [*range(0, 90, 2), 200, 300]
+    near = {x: {b for a, b, _ in rows if a == x} | {a for a, b, _ in rows if b == x} for x in [*range(90), 200, 201, 300]}
+    want = {}
+    for s in sources:
+        far, front = {s: 0.0}, [s]
+        for x in front:
+            front += [y for y in near[x] if y not in far and far.setdefault(y, far[x] + 1)]
+        want |= {(s, y): d for y, d in far.items()}
+    monkeypatch.setattr(paths, "SHARE", 7)
+    monkeypatch.setattr(paths, "MOST_ROUNDS", 0)  # no joins
+    for cutoff in (None, 2.0):
+        got = {(r.src, r.dst): r.d for r in paths.distances(edges(spark, rows), nodes(spark, sources), cutoff, None).collect()}
+        assert got == {k: d for k, d in want.items() if cutoff is None or d <= cutoff}
