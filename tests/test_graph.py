@@ -196,3 +196,40 @@ def test_hops_in_tasks(spark, monkeypatch):
     for cutoff in (None, 2.0):
         got = {(r.src, r.dst): r.d for r in paths.distances(edges(spark, rows), nodes(spark, sources), cutoff, None).collect()}
         assert got == {k: d for k, d in want.items() if cutoff is None or d <= cutoff}
+
+
+@pytest.mark.parametrize("cutoff", [None, 7.5])
+def test_weighted_ways_in_tasks(spark, monkeypatch, cutoff):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    # Few distinct weights (ties), many, and very light ones; two components and a node alone.
+    weights = [float(x) for x in rng.choice([1.0, 2.0, 3.5, 9.0, 0.001, 60.0], 250)] + [float(x) for x in rng.random(150) * 20]
+    rows = [(int(a), int(b), w) for (a, b), w in zip(rng.integers(0, 90, (400, 2)), weights, strict=True)] + [(200, 201, 1.5)]
+    sources = [*range(0, 90, 2), 200, 300]
+    low = {}
+    for a, b, w in rows:
+        if a != b:
+            low[a, b] = low[b, a] = min(w, low.get((a, b), w))
+    want = {}
+    for s in sources:
+        d, left = {s: 0.0}, {s}
+        while left:
+            u = min(left, key=d.get)
+            left.discard(u)
+            for (a, v), w in low.items():
+                if a == u and (cutoff is None or d[u] + w <= cutoff) and d[u] + w < d.get(v, float("inf")):
+                    d[v] = d[u] + w
+                    left.add(v)
+        for v, x in d.items():
+            want[s, v] = x, min((u for (u, b), w in low.items() if b == v and u in d and abs(d[u] + w - x) <= 1e-9), default=None)
+    monkeypatch.setattr(paths, "SPAN", 7)
+    tasks = paths.distances(edges(spark, rows), nodes(spark, sources), cutoff, through=True)
+    monkeypatch.setattr(paths, "LINKS", 0)  # joins
+    joins = paths.distances(edges(spark, rows), nodes(spark, sources), cutoff, through=True)
+    for got in (tasks, joins):
+        assert {(r.src, r.dst): (r.d, r.before) for r in got.collect()} == want
+    monkeypatch.setattr(paths, "LINKS", 8_000_000)
+    monkeypatch.setattr(paths, "MOST_ROUNDS", 0)  # no joins
+    plain = paths.distances(edges(spark, rows), nodes(spark, sources), cutoff)
+    assert {(r.src, r.dst): r.d for r in plain.collect()} == {k: x for k, (x, _) in want.items()}
