@@ -153,6 +153,33 @@ def test_blocks_of_every_text():
     assert set(np.searchsorted(bounds, some[3][:, 0], "right") - 1) == set(range(30))
 
 
+@pytest.mark.parametrize("rounds", [lm_scoring.Params().rounds, 3])
+def test_every_block_is_an_example(spark, tmp_path, rounds):
+    """Under the query's parameters the network is fitted to each place of every training text once, over all rounds."""
+    top, p = str(tmp_path), lm_scoring.Params(rounds=rounds)
+
+    class Shared:  # notes the ids that it is asked for
+        @property
+        def value(self):
+            return self
+
+        def probabilities(self, before2, before, ids, own=0):
+            import tempfile
+
+            with tempfile.NamedTemporaryFile(dir=top, delete=False) as f:
+                f.write(np.asarray(ids, np.int32).tobytes())
+            return np.full((len(ids), 3), 0.1, np.float32)
+
+    end, rng = 999, np.random.default_rng(1)
+    rows = [rng.integers(0, end, rng.integers(0, 1500)).tolist() + [end] for _ in range(20)]
+    texts = spark.createDataFrame([((i,), bytearray(np.array(r, np.uint16).tobytes())) for i, r in enumerate(rows)], "keep struct<doc_id:long>, ids binary")
+    net = lm_scoring.Network(p, lm_scoring.embedding_rows(np.ones(end + 1, np.int64), p))
+    lm_scoring.train(lm_scoring.training_texts(texts, 3), net, Shared(), p)
+    seen = np.concatenate([np.fromfile(f, np.int32) for f in tmp_path.iterdir()])
+    want = np.concatenate(rows)
+    assert (np.bincount(seen, minlength=end + 1)[:end] == np.bincount(want, minlength=end + 1)[:end]).all() and np.isfinite(net.flat()).all()
+
+
 def brute_lm(p, net, grams, ids, end):
     """log10 probability of each id after those before it, by plain loops, and of all others in its place."""
     w, out = net.w, []
