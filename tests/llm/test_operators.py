@@ -180,6 +180,52 @@ def test_every_block_is_an_example(spark, tmp_path, rounds):
     assert (np.bincount(seen, minlength=end + 1)[:end] == np.bincount(want, minlength=end + 1)[:end]).all() and np.isfinite(net.flat()).all()
 
 
+def test_networks_leave_a_task_as_one_sum(spark, monkeypatch):
+    """The average is that of each shard's network, and rows handed on are 16 a task, not one for each weight of each shard."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rng, end, p, handed = np.random.default_rng(3), 999, lm_scoring.Params(), []
+    probs = rng.random((end + 1, 3)).astype(np.float32)
+
+    class Shared:
+        value = property(lambda self: self)
+
+        def probabilities(self, before2, before, ids, own=0):
+            return probs[ids]
+
+    repartition = DataFrame.repartition
+    monkeypatch.setattr(DataFrame, "repartition", lambda df, *cols: (handed.append((df.count(), df.rdd.getNumPartitions())) if cols[-1] == "piece" else None, repartition(df, *cols))[1])
+    rows = [rng.integers(0, end, rng.integers(0, 1500)).tolist() + [end] for _ in range(40)]
+    texts = spark.createDataFrame([((i,), bytearray(np.array(r, np.uint16).tobytes())) for i, r in enumerate(rows)], "keep struct<doc_id:long>, ids binary")
+    examples = lm_scoring.training_texts(texts, 9)
+    fresh = lambda: lm_scoring.Network(p, lm_scoring.embedding_rows(np.ones(end + 1, np.int64), p))
+    got = lm_scoring.train(examples, fresh(), Shared(), p).flat()
+    assert handed and all(n <= 16 * tasks for n, tasks in handed)
+    by: dict[int, list] = {}
+    for r in sorted(examples.collect()):
+        by.setdefault(r.shard, []).append(np.frombuffer(bytes(r.ids), np.uint16))
+    assert len(by) > 5
+    nets = []
+    for parts in by.values():
+        ids, bounds = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        seg, back, real, place = lm_scoring.segments(ids, bounds, p.block, end)
+        net = fresh()
+        net.fit(len(seg), lambda o: (seg[o], back[o], real[o], probs[seg[o][:, p.block + 2 :]]), 0, p.rate)  # noqa: B023
+        nets.append(net.flat().astype(np.float64))
+    assert got == pytest.approx(np.mean(nets, axis=0), abs=1e-4)
+
+
+def test_lookup():
+    rng = np.random.default_rng(0)
+    keys = np.unique(rng.integers(0, 1 << 64, 5000, dtype=np.uint64))
+    rng.shuffle(keys)
+    keys, others = np.concatenate([np.zeros(1, np.uint64), keys[:3000]]), keys[3000:]
+    for at in (lm_scoring.Lookup(keys), lm_scoring.Lookup(keys[:7], 50)):
+        at.add(keys[at.size :])
+        assert (at.find(keys) == np.arange(1, len(keys) + 1)).all() and not at.find(others).any() and not len(at.find(keys[:0]))
+    assert not lm_scoring.Lookup(keys[:0]).find(keys).any()
+
+
 def brute_lm(p, net, grams, ids, end):
     """log10 probability of each id after those before it, by plain loops, and of all others in its place."""
     w, out = net.w, []
