@@ -126,6 +126,21 @@ def test_lm_scoring(docs, none):
     assert lm_scoring.score(none, common.fold(none.doc_id, 5) != 1, path).count() == 0
 
 
+def test_lm_tables_are_deleted(spark, docs):
+    """Of the scratch tables only those are left that the result is read from, and the session's settings are as they were."""
+    import pathlib
+
+    import public_tokenizers
+
+    names = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch")
+    top, old = pathlib.Path(spark.conf.get("spark.checkpoint.dir")), [spark.conf.get(x, None) for x in names]
+    before = set(top.glob("lm-*"))
+    assert lm_scoring.score(docs, F.lit(True), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).count() == len(ROWS)
+    (mine,) = set(top.glob("lm-*")) - before
+    assert {x.name.split("-")[0] for x in mine.iterdir()} == {"words", "scored"}
+    assert [spark.conf.get(x, None) for x in names] == old
+
+
 def test_network_learns_from_all_texts(spark, monkeypatch):
     import public_tokenizers
 
