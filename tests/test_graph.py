@@ -233,3 +233,27 @@ def test_weighted_ways_in_tasks(spark, monkeypatch, cutoff):
     monkeypatch.setattr(paths, "MOST_ROUNDS", 0)  # no joins
     plain = paths.distances(edges(spark, rows), nodes(spark, sources), cutoff)
     assert {(r.src, r.dst): r.d for r in plain.collect()} == {k: x for k, (x, _) in want.items()}
+
+
+@pytest.mark.parametrize("first", [3, 20_000])
+def test_reach_picks_are_those_of_all_candidates(spark, first):
+    # Against a plain greedy search over every candidate; a task that gets 3 of them first asks for others.
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    c = [(k, sorted(map(int, rng.choice(25, 2 if k % 20 else 3, replace=False))), float(rng.integers(1, 6) * 10)) for k in range(150)]
+    area = {x: float(rng.uniform(1, 9)) for x in range(24)}  # 24 is no node
+    budgets = {"a": 200.0, "b": 45.0}
+    rows = spark.createDataFrame([(s, k, k, ps, n, n) for s in budgets for k, ps, n in c], "scenario_id string, cand_id long, seq long, patch_ids array<long>, cost double, length double")
+    nodes = spark.createDataFrame([(x, a, a) for x, a in area.items()], "node long, raw_area double, area double")
+    got = selection.select_reach(rows, nodes, spark.createDataFrame(list(budgets.items()), "scenario_id string, budget double"), 40.0, first)
+    want = []
+    for s, left in budgets.items():
+        r, open_ = selection.Reach(list(area), list(area.values()), 40.0), {k: (ps, n) for k, ps, n in c}
+        while True:
+            best = max(((g[0] * (0.25 if g[1] else 1.0) / n, -k, g) for k, (ps, n) in open_.items() if n <= left and (g := r.gain(ps, n))), key=lambda x: (round(x[0], 9), x[1]), default=None)
+            if best is None:
+                break
+            r.d, left = r.laid(r.d, best[2][2]), left - open_.pop(-best[1])[1]
+            want.append((s, -best[1], round(best[0], 6)))
+    assert [(x.scenario_id, x.cand_id, round(x.score, 6)) for x in got.orderBy("scenario_id", "pick_order").collect()] == want
