@@ -257,3 +257,25 @@ def test_reach_picks_are_those_of_all_candidates(spark, first):
             r.d, left = r.laid(r.d, best[2][2]), left - open_.pop(-best[1])[1]
             want.append((s, -best[1], round(best[0], 6)))
     assert [(x.scenario_id, x.cand_id, round(x.score, 6)) for x in got.orderBy("scenario_id", "pick_order").collect()] == want
+
+
+def test_diameter_in_tasks(spark, monkeypatch):
+    # 40,000 nodes around a hub: an all-pairs table would have 1.6e9 rows.
+    star = spark.range(1, 40_000).selectExpr("0L u", "id v", "1.0D weight")
+    monkeypatch.setattr(paths, "MOST_ROUNDS", 0)  # no joins
+    monkeypatch.setattr(paths, "LIST", 7)
+    assert paths.diameter(star, spark.range(40_000).toDF("node")).first().diameter == 2
+    path = edges(spark, [(k, k + 1, 1.0) for k in range(60)])
+    assert paths.diameter(path, nodes(spark, range(61))).first().diameter == 60
+    assert paths.diameter(path, nodes(spark, range(62))).first().diameter is None
+
+
+def test_components_of_thinned_edges(spark, monkeypatch):
+    from mosaiq.operators import components
+
+    monkeypatch.setattr(components, "BLOCK", 100)
+    monkeypatch.setattr(components, "HELD", 150)
+    e = spark.range(3000).selectExpr("id % 1000 * 2 u", "(id % 1000 * 2 + 2 * (1 + id div 1000)) % 2000 v").union(spark.createDataFrame([(5, 5)], "u long, v long"))
+    for one_task in (500_000, 10):
+        got = {r.node: r.component for r in components.components(e, spark.range(8).toDF("node"), one_task).collect()}
+        assert got == {0: 0, 2: 0, 4: 0, 6: 0, 1: 1, 3: 3, 5: 5, 7: 7}
