@@ -279,3 +279,17 @@ def test_components_of_thinned_edges(spark, monkeypatch):
     for one_task in (500_000, 10):
         got = {r.node: r.component for r in components.components(e, spark.range(8).toDF("node"), one_task).collect()}
         assert got == {0: 0, 2: 0, 4: 0, 6: 0, 1: 1, 3: 3, 5: 5, 7: 7}
+
+
+def test_entropy_of_parallel_edges(spark):
+    import math
+
+    # Two ways of an edge and a loop: the least weight counts, a missing one is 1.
+    e = edges(spark, [(1, 2, 9.0), (2, 1, 3.0), (2, 3, None), (3, 3, 5.0)])
+    p = [math.exp(-0.002 * w) for w in (3.0, 1.0)]
+    h = [-x * math.log(x + 1e-10) for x in (1.0, 1.0, p[0] / sum(p), p[1] / sum(p))]
+    assert graph.movement_entropy(e, nodes(spark, [1, 2, 3])).first().entropy == pytest.approx(sum(h) / 3)
+    assert graph.total_entropy(e, nodes(spark, [1, 2, 3])).first().total == pytest.approx(sum(h) / 3 + 2 / 3)
+    # Over 16,384 nodes, which went by joins of all pairs.
+    star = spark.range(1, 17_000).selectExpr("0L u", "id v", "1.0D weight")
+    assert graph.total_entropy(star, spark.range(17_000).toDF("node")).first().total > 0
