@@ -293,3 +293,40 @@ def test_entropy_of_parallel_edges(spark):
     # Over 16,384 nodes, which went by joins of all pairs.
     star = spark.range(1, 17_000).selectExpr("0L u", "id v", "1.0D weight")
     assert graph.total_entropy(star, spark.range(17_000).toDF("node")).first().total > 0
+
+
+def test_resistance_of_a_matrix_in_a_file(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    rows = {(min(a, b), max(a, b)): float(rng.uniform(1, 9)) for a, b in rng.integers(0, 40, (150, 2)).tolist() if a != b} | {(k, k + 1): 2.0 for k in range(39)}
+    e = edges(spark, [(u, v, w) for (u, v), w in rows.items()] + [(100, 101, 4.0)])
+    lap = np.zeros((40, 40))
+    for (u, v), w in rows.items():
+        lap[[u, v, u, v], [u, v, v, u]] += np.array([1, 1, -1, -1]) / w
+    p = np.linalg.pinv(lap)
+    monkeypatch.setattr(graph, "GROUNDED", 10)
+    monkeypatch.setattr(graph, "SLAB", 8 * 40 * 7)
+    asked = spark.createDataFrame([(a, b) for a in range(0, 40, 3) for b in range(1, 40, 2) if a != b] + [(100, 101), (39, 100), (39, 5), (5, 39)], "u long, v long")
+    got = {(r.u, r.v): r.r for r in graph.effective_resistance(e, asked).collect()}
+    assert got.pop((39, 100)) is None and got.pop((100, 101)) == pytest.approx(4.0)
+    assert len(got) > 200 and all(r == pytest.approx(p[u, u] + p[v, v] - 2 * p[u, v]) for (u, v), r in got.items())
+
+
+def test_inverse_in_slabs(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(graph, "SLAB", 8 * 40 * 7)
+    a = np.random.default_rng(3).uniform(0, 1, (40, 40))
+    a = a + a.T
+    np.fill_diagonal(a, 0)
+    full = np.diag(a.sum(axis=1)) - a
+    full[-1], full[:, -1], full[-1, -1] = 0, 0, 1
+    m = graph.Filed(40)
+    assert len(m.slabs()) == 6
+    i, j = np.triu_indices(40, 1)
+    m.put(i, j, -a[i, j])
+    m.mirror(a.sum(axis=1))
+    assert np.allclose(m.open(), full)
+    m.invert()
+    assert np.allclose(m.open(), np.linalg.inv(full))
