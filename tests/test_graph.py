@@ -330,3 +330,11 @@ def test_inverse_in_slabs(monkeypatch):
     assert np.allclose(m.open(), full)
     m.invert()
     assert np.allclose(m.open(), np.linalg.inv(full))
+
+
+def test_hops_of_more_nodes(spark, monkeypatch):
+    # Over 16,384 nodes, where rounds of joins took over.
+    monkeypatch.setattr(paths, "MOST_ROUNDS", 0)
+    star = spark.range(1, 17_000).selectExpr("0L u", "id v", "1.0D weight")
+    got = paths.distances(star, nodes(spark, [0, 5]), 3.0, None).groupBy("src", "d").count().collect()
+    assert {(r.src, r.d): r["count"] for r in got} == {(0, 0.0): 1, (0, 1.0): 16_999, (5, 0.0): 1, (5, 1.0): 1, (5, 2.0): 16_998}
